@@ -53,7 +53,7 @@ def shingle_sets(texts: list[str | None], hashes: WordHashes) -> list[np.ndarray
             h = np.array([n], np.uint64)
             for w in flat[at : at + n]:
                 h = h * _P + w
-            out.append(mixed(h + _B * np.uint64(n)))
+            out.append(mixed(h + np.array([n], np.uint64) * _B))
         else:
             out.append(np.empty(0, np.uint64))
         at += n

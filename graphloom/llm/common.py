@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import string
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,3 +39,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. A text without multi-byte characters takes the byte-wise way, which is the same there."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def worker_cache(key: str, make):
+    """What make() gave the first time in this Python worker: tasks that follow each other share loaded models."""
+    held = sys.modules.setdefault("graphloom_worker_cache", types.ModuleType("graphloom_worker_cache"))
+    if not hasattr(held, key):
+        setattr(held, key, make())
+    return getattr(held, key)

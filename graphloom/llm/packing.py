@@ -26,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import worker_cache
+
 WINDOW, END_ID = 2048, 1
 #: Open windows that a partition holds at most.
 MOST_OPEN = 2048
@@ -133,7 +135,7 @@ def packed(docs: DataFrame, window: int = WINDOW, tokenizer=ByteBpe) -> DataFram
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer()
+        encode = worker_cache(f"tokenizer {tokenizer.__name__}", tokenizer)
         windows = Windows(window, TaskContext.get().partitionId() << 40)
         end = np.array([END_ID], np.uint32)
         for batch in batches:

@@ -29,13 +29,15 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import materialize
 from graphloom.llm.components import components
-from graphloom.llm.shingles import WordHashes, folded, parity_bitmap, set_key, shingle_sets
+from graphloom.llm.shingles import folded, folded_int, parity_bitmap, set_key, shingle_sets
 
 PERCENT = 80
 #: Frequent shingles that are put last in the order, and counters of the summary that finds them.
 MOST_FREQUENT, COUNTERS = 65_536, 200_000
 #: A block of a tile holds about so many rows or shingles at most.
 TILE_ROWS, TILE_SHINGLES = 512, 400_000
+#: Up to so many ids of the documents whose shingles are needed are broadcast (8 MB).
+MOST_BROADCAST = 1_000_000
 
 
 def links(inter, n, m):
@@ -52,40 +54,40 @@ def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 400) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
-class _Summary:
-    """Misra-Gries: at most COUNTERS counts; when there are more, all are lowered until that many are left."""
+def _lowered(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A Misra-Gries step: with more than COUNTERS counts, all are lowered until no more are left."""
+    if len(keys) > COUNTERS:
+        counts = counts - np.partition(counts, len(counts) - COUNTERS - 1)[len(counts) - COUNTERS - 1]
+        keys, counts = keys[counts > 0], counts[counts > 0]
+    return keys, counts
 
-    def __init__(self):
-        self.keys, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
 
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        keys, at = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([self.counts, counts])).astype(np.int64)
-        if len(keys) > COUNTERS:
-            counts -= np.partition(counts, len(counts) - COUNTERS - 1)[len(counts) - COUNTERS - 1]
-            keys, counts = keys[counts > 0], counts[counts > 0]
-        self.keys, self.counts = keys, counts
+def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return _lowered(keys[first], np.add.reduceat(counts, first) if len(first) else counts)
 
 
 def _summaries(batches):
-    hashes, held, summary = WordHashes(), [], _Summary()
+    keys, counts, held, size = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
 
     def flush():
-        if held:
-            summary.add(*np.unique(np.concatenate(held), return_counts=True))
-            held.clear()
+        some = np.sort(np.concatenate(held)) if held else np.empty(0, np.uint64)
+        first = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]])) if len(some) else np.empty(0, np.int64)
+        more = _lowered(some[first], np.diff(np.append(first, len(some))))
+        held.clear()
+        return _merged(np.concatenate([keys, more[0]]), np.concatenate([counts, more[1]]))
 
-    size = 0
     for batch in _chunks(batches):
-        sets = shingle_sets(batch.column("text").to_pylist(), hashes)
+        sets = shingle_sets(batch.column("text").to_pylist())
         held += sets
         size += sum(map(len, sets))
-        if size > 1_000_000:
-            flush()
+        if size > 2_000_000:
+            keys, counts = flush()
             size = 0
-    flush()
-    keep = summary.counts > 1
-    yield pa.RecordBatch.from_arrays([pa.array(summary.keys[keep].view(np.int64)), pa.array(summary.counts[keep])], ["shingle", "n"])
+    keys, counts = flush()
+    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["shingle", "n"])
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
@@ -95,11 +97,18 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     return top["shingle"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
 
 
+def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.uint64), *arrays]).view(np.int64)))
+
+
 def _signatures(frequent: np.ndarray):
     order = np.argsort(frequent)
     known, rank = frequent[order], order
 
     def prefix(a: np.ndarray) -> np.ndarray:
+        if not len(a):
+            return a
         most = prefix_length(len(a))
         at = np.searchsorted(known, a)
         at[at == len(known)] = 0
@@ -110,15 +119,14 @@ def _signatures(frequent: np.ndarray):
         return np.concatenate([cold, a[hot][np.argsort(rank[at[hot]])][: most - len(cold)]])
 
     def run(batches):
-        hashes = WordHashes()
         for batch in _chunks(batches):
-            sets = shingle_sets(batch.column("text").to_pylist(), hashes)
+            sets = shingle_sets(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([prefix(s).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                    lists([prefix(s) for s in sets]),
                     pa.array([parity_bitmap(s) if len(s) else None for s in sets], pa.binary()),
                 ],
                 ["doc_id", "n", "key", "prefix", "bitmap"],
@@ -128,9 +136,8 @@ def _signatures(frequent: np.ndarray):
 
 
 def _arrays(batches):
-    hashes = WordHashes()
     for batch in _chunks(batches):
-        sets = shingle_sets(batch.column("text").to_pylist(), hashes)
+        sets = shingle_sets(batch.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "shingles"])
 
 
@@ -195,6 +202,11 @@ def _tiles(batches, columns: list[str]):
 
 
 def _pairs_of(tile: dict) -> np.ndarray:
+    """Pairs (i, j, bound) of a tile that may link components."""
+    if len(tile["n"]) == 2:
+        (n, m), (x, y) = tile["n"], tile["bitmap"]
+        ok = tile["label"][0] != tile["label"][1] and allowed(n, x, m, y) and (tile["low"][0] == tile["high"][0] or tile["block"][0] != tile["block"][1])
+        return np.array([[0, 1, min(n, m)]] if ok else np.empty((0, 3)), np.int64)
     blocks = np.array(tile["block"])
     sides = np.zeros(len(blocks), int) if tile["low"][0] == tile["high"][0] else np.where(blocks == tile["low"][0], 1, 2)
     names = {v: k for k, v in enumerate(dict.fromkeys(tile["label"]))}
@@ -235,14 +247,30 @@ def _links(batches):
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], ["a", "b"])
 
 
+def allowed(n: int, x: bytes, m: int, y: bytes) -> bool:
+    """Whether two bitmaps and set sizes leave room for a link."""
+    p, q = int.from_bytes(x), int.from_bytes(y)
+    while len(x) != len(y) and 100 * min(n, m) >= PERCENT * max(n, m):
+        if len(x) > len(y):
+            p, x = folded_int(p, 8 * len(x)), x[: len(x) // 2]
+        else:
+            q, y = folded_int(q, 8 * len(y)), y[: len(y) // 2]
+    return bool(len(x) == len(y) and links(min(n, m, (n + m - (p ^ q).bit_count()) // 2), n, m))
+
+
+def _kept(batch: pa.RecordBatch, keep: list[bool]) -> pa.RecordBatch:
+    return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _allowed_pairs(batches):
+    for batch in batches:
+        yield _kept(batch, [allowed(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("na", "ba", "nb", "bb")), strict=True)])
+
+
 def _verified(batches):
     for batch in batches:
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        keep = []
-        for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            keep.append(links(min(len(x), len(y)), len(x), len(y)) and links(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(a, keep, strict=True) if k], pa.binary()), pa.array([x for x, k in zip(b, keep, strict=True) if k], pa.binary())], ["a", "b"])
+        pairs = ((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True))
+        yield _kept(batch, [bool(links(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))) for x, y in pairs])
 
 
 def _band(n: Column, shift: float) -> Column:
@@ -257,7 +285,8 @@ def _partners(nodes: DataFrame) -> DataFrame:
     return materialize(both.select("shingle", "key", "n", "m"), "partners")
 
 
-def _star_links(partners: DataFrame, arrays: DataFrame) -> DataFrame:
+def _star_pairs(partners: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Each class with the most typical one under the same prefix shingle and size band, if their bitmaps allow a link."""
     weight = partners.groupBy("key").agg((F.count(F.lit(1)) / F.first("m")).alias("weight"))
     rows = partners.join(weight, "key")
     pairs = None
@@ -267,6 +296,23 @@ def _star_links(partners: DataFrame, arrays: DataFrame) -> DataFrame:
         some = best.select(F.col("best.key").alias("a"), F.col("key").alias("b"))
         pairs = some if pairs is None else pairs.unionByName(some)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one = nodes.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ba"))
+    two = nodes.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("bb"))
+    return materialize(pairs.join(one, "a").join(two, "b").mapInArrow(_allowed_pairs, "a binary, b binary"), "pairs")
+
+
+def _shingles_of(docs: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, shingles for the given classes. Their texts are picked by a broadcast list while that is short, else by a shuffle."""
+    keys = materialize(nodes.join(keys, "key", "left_semi").select("key", "least"), "keys")
+    ids = keys.select("least").distinct()
+    if ids.count() <= MOST_BROADCAST:
+        ids = F.broadcast(ids)
+    chosen = docs.join(ids, docs["doc_id"].eqNullSafe(ids["least"]), "left_semi")
+    found = chosen.mapInArrow(_arrays, "key binary, shingles binary").join(keys.select("key"), "key", "left_semi")
+    return materialize(found.groupBy("key").agg(F.first("shingles").alias("shingles")), "arrays")
+
+
+def _star_links(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     one = arrays.select(F.col("key").alias("a"), F.col("shingles").alias("sa"))
     two = arrays.select(F.col("key").alias("b"), F.col("shingles").alias("sb"))
     return materialize(pairs.join(one, "a").join(two, "b").mapInArrow(_verified, "a binary, b binary"), "stars")
@@ -305,16 +351,14 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     nodes = materialize(nodes, "nodes")
 
     partners = _partners(nodes)
-    open_keys = partners.select("key").distinct()
-    needed = nodes.join(open_keys, "key", "left_semi").select("least").distinct()
-    chosen = docs.join(needed, docs["doc_id"].eqNullSafe(needed["least"]), "left_semi")
-    arrays = materialize(chosen.mapInArrow(_arrays, "key binary, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles")).join(open_keys, "key", "left_semi"), "arrays")
-
-    stars = _star_links(partners, arrays)
+    pairs = _star_pairs(partners, nodes)
+    named = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    stars = _star_links(pairs, _shingles_of(docs, nodes, named))
     labels = components(stars).select(F.col("node").alias("key"), F.col("component").alias("label"))
     tiles = _tile_rows(partners, labels).join(nodes.select("key", "bitmap"), "key")
     schema = "shingle long, low long, high long, block long, key binary, label binary, n long, bitmap binary"
     hopeful = materialize(_by_tile(tiles.select(*[c.split()[0] for c in schema.split(", ")])).mapInArrow(_hopeful, schema), "hopeful")
+    arrays = _shingles_of(docs, nodes, hopeful.select("key").distinct())
     more = _by_tile(hopeful.join(arrays, "key")).mapInArrow(_links, "a binary, b binary")
 
     found = components(stars.unionByName(materialize(more, "links")))

@@ -32,7 +32,7 @@ K = 20
 #: The tree is fitted on at most SAMPLE classes; a leaf is meant to hold LEAF classes, but its share of the sample is at least LEAST.
 SAMPLE, LEAF, LEAST, BRANCHES = 20_000, 256, 8, 8
 #: Queries whose exact neighbours calibrate the visits, and the recall that these must reach.
-CALIBRATION, RECALL = 256, 0.97
+CALIBRATION, RECALL = 256, 0.95
 #: Vectors and queries of a tile.
 TILE_VECTORS, TILE_QUERIES = 4096, 2048
 

@@ -5,73 +5,21 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from graphloom.llm.words import ODD, mixed, raw_words, word_hashes
+
 WORDS = 5
-_P = np.uint64(0x9E3779B97F4A7C15)
-_A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-#: Bytes hashed at once, so that a text of any length takes bounded memory.
-SEGMENT = 1 << 20
-#: A random word for each byte value, and powers of an odd number and of its inverse modulo 2^64.
-_BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, np.uint64)
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(n - 1, SEGMENT).bit_length()
-    if size not in _POWERS:
-        inverse = np.uint64(pow(int(_P), -1, 1 << 64))
-        one = np.ones(1, np.uint64)
-        _POWERS[size] = tuple(np.cumprod(np.concatenate([one, np.full(size - 1, x)])) for x in (_P, inverse))
-    return _POWERS[size]
-
-
-def _segment_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the words of data, which neither begins nor ends inside a word."""
-    raw = np.frombuffer(data, np.uint8)
-    power, inverse = _powers(len(raw))
-    edge = np.diff(np.concatenate([[True], _IS_SPACE[raw], [True]]).view(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTES[raw] * power[: len(raw)], out=sums[1:])
-    return starts, mixed((sums[ends] - sums[starts]) * inverse[starts])
-
-
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words [^\\x20\\x09-\\x0D]+, A-Z lower-cased, of all texts, and how many each text has."""
-    raw = [t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in texts]
-    offsets = np.cumsum([0] + [len(r) + 1 for r in raw])
-    data = b"\n".join(raw) + b"\n"
-    starts, hashes, at = [], [], 0
-    while at < len(data):
-        end = at + SEGMENT
-        if end < len(data):  # up to the last white space of the segment, or the next one
-            tail = np.flatnonzero(_IS_SPACE[np.frombuffer(data, np.uint8, SEGMENT, at)])
-            end = at + int(tail[-1]) + 1 if len(tail) else min(i for i in (data.find(c, end) for c in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r")) if i >= 0) + 1
-        s, h = _segment_hashes(data[at:end])
-        starts.append(s + at)
-        hashes.append(h)
-        at = end
-    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), offsets))
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * _A
-    h = (h ^ (h >> np.uint64(27))) * _B
-    return h ^ (h >> np.uint64(31))
+_SALT = np.uint64(0x94D049BB133111EB)
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     """For each text its distinct shingles: sorted uint64. With fewer words than WORDS the whole sequence is one."""
-    flat, counts = word_hashes(texts)
+    flat, counts = word_hashes(raw_words(texts))
     run = flat
     if len(flat) >= WORDS:
         last = len(flat) - WORDS + 1
         run = flat[:last].copy()
         for k in range(1, WORDS):
-            run *= _P
+            run *= ODD
             run += flat[k : last + k]
         run = mixed(run)
     out, at = [], 0
@@ -84,8 +32,8 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
         elif n:
             h = np.array([n], np.uint64)
             for w in flat[at : at + n]:
-                h = h * _P + w
-            out.append(mixed(h + np.array([n], np.uint64) * _B))
+                h = h * ODD + w
+            out.append(mixed(h + np.array([n], np.uint64) * _SALT))
         else:
             out.append(np.empty(0, np.uint64))
         at += n

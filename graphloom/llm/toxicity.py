@@ -2,7 +2,7 @@
 
 Features are words and their first 4 to 7 bytes, lower-cased and without punctuation; a feature's value is the log of one
 plus its count. P(grade > k) = sigmoid(w x - t_k): one weight vector shared by all thresholds, which are kept in order.
-A text's severity is its expected grade, the sum of these probabilities; it is toxic if grade 0 is the less likely.
+A text's severity is its expected grade, the sum of these probabilities; it is toxic if the chance of a grade above 0 exceeds TOXIC_AT.
 
 Labels only tell toxic from not. The grades of toxic training rows come from how many marks they hold, a mark being a
 feature that toxic rows have far more often than others: thirds of the toxic rows by that count are grades 1, 2 and 3.
@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.words import MARKS, raw_lower, word_arrays
+from graphloom.llm.words import MARKS, ODD, mixed, raw_lower, word_arrays
 
 PREFIXES = (4, 5, 6, 7)
-MOST_ROWS, MOST_FEATURES = 10_000, 800
+MOST_ROWS, MOST_FEATURES = 20_000, 800
 GRADES = 3
+#: A text is toxic if the chance of a grade above 0 is over this; false alarms stay rare well below one half.
+TOXIC_AT = 0.2
 
 
 @dataclass
@@ -71,9 +73,10 @@ def _presence(batches):
             arrays, counts = word_arrays(raw_lower(part.column("text").to_pylist()), MARKS, PREFIXES)
             toxic = np.array(part.column("toxic").to_pylist(), bool)
             doc = np.repeat(np.arange(len(counts)), counts)
-            each = np.unique(np.stack([np.concatenate(arrays), np.tile(doc, len(arrays)).astype(np.uint64)], axis=1), axis=0)
-            keys, at = np.unique(each[:, 0], return_inverse=True)
-            is_toxic = toxic[each[:, 1].astype(np.int64)]
+            flat, of = np.concatenate(arrays), np.tile(doc, len(arrays))
+            _, once = np.unique(mixed(flat + of.astype(np.uint64) * ODD), return_index=True)
+            keys, at = np.unique(flat[once], return_inverse=True)
+            is_toxic = toxic[of[once]]
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(at, is_toxic, len(keys)).astype(np.int64)), pa.array(np.bincount(at, ~is_toxic, len(keys)).astype(np.int64))], ["feature", "toxic", "clean"])
 
 
@@ -152,7 +155,7 @@ def scored(docs: DataFrame, model: Ordinal, text: str = "text") -> DataFrame:
                 part = batch.slice(start, 400)
                 scores = np.array([model.weights[at] @ np.log1p(n) for at, n in feature_counts(part.column(text).to_pylist(), model.features)])
                 p = model.exceed(scores)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p.sum(axis=1)), pa.array(p[:, 0] > 0.5)], [*part.schema.names, "__severity", "__toxic"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p.sum(axis=1)), pa.array(p[:, 0] > TOXIC_AT)], [*part.schema.names, "__severity", "__toxic"])
 
     from pyspark.sql import types as T
 

@@ -36,6 +36,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Lists of up to so many rows of ids and digests are broadcast (under 100 MB); longer ones are joined by shuffling.
+MOST_LISTED = 500_000
+
+
+def short(table: DataFrame) -> DataFrame:
+    """table, to be broadcast if a count of its rows proves it short."""
+    return F.broadcast(table) if table.count() <= MOST_LISTED else table
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. A text without multi-byte characters takes the byte-wise way, which is the same there."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

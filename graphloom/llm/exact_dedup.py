@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ascii_lower, materialize
+from graphloom.llm.common import ascii_lower, materialize, short
 
 #: Misra-Gries counters. Every digest of more than about 4 / COUNTERS of all rows is found.
 COUNTERS = 8192
@@ -56,7 +56,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     named = docs.withColumn("__sha", F.sha2(ascii_lower(F.coalesce("text", F.lit(""))).cast("binary"), 256))
     fate = decide(digests(docs))
     lost = fate.where(~F.col("kept")).groupBy("doc_id", "text_sha256").agg((F.max("keep_id").eqNullSafe(F.col("doc_id"))).alias("again"))
-    lost = materialize(lost, "lost").withColumnsRenamed({"doc_id": "__id", "text_sha256": "__lost_sha"})
+    lost = short(materialize(lost, "lost").withColumnsRenamed({"doc_id": "__id", "text_sha256": "__lost_sha"}))
     joined = named.join(lost, named["doc_id"].eqNullSafe(lost["__id"]) & (named["__sha"] == lost["__lost_sha"]), "left")
     once = joined.where(F.col("__lost_sha").isNull()).select(*docs.columns)
     again = joined.where(F.col("again")).groupBy("doc_id", "__sha").agg(F.max(F.struct(*docs.columns)).alias("x")).select("x.*")

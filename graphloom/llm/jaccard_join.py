@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from graphloom.llm.common import materialize
+from graphloom.llm.common import materialize, short
 from graphloom.llm.components import components
 from graphloom.llm.shingles import folded, folded_int, parity_bitmap, set_key, shingle_sets
 
@@ -36,8 +37,6 @@ PERCENT = 80
 MOST_FREQUENT, COUNTERS = 65_536, 200_000
 #: A block of a tile holds about so many rows or shingles at most.
 TILE_ROWS, TILE_SHINGLES = 512, 400_000
-#: Up to so many ids of the documents whose shingles are needed are broadcast (8 MB).
-MOST_BROADCAST = 1_000_000
 
 
 def links(inter, n, m):
@@ -304,9 +303,7 @@ def _star_pairs(partners: DataFrame, nodes: DataFrame) -> DataFrame:
 def _shingles_of(docs: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
     """key, shingles for the given classes. Their texts are picked by a broadcast list while that is short, else by a shuffle."""
     keys = materialize(nodes.join(keys, "key", "left_semi").select("key", "least"), "keys")
-    ids = keys.select("least").distinct()
-    if ids.count() <= MOST_BROADCAST:
-        ids = F.broadcast(ids)
+    ids = short(keys.select("least").distinct())
     chosen = docs.join(ids, docs["doc_id"].eqNullSafe(ids["least"]), "left_semi")
     found = chosen.mapInArrow(_arrays, "key binary, shingles binary").join(keys.select("key"), "key", "left_semi")
     return materialize(found.groupBy("key").agg(F.first("shingles").alias("shingles")), "arrays")
@@ -368,3 +365,24 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     classes = named.join(lowest, "component").select("key", "component_id")
     out = signed.select("doc_id", "n", "key").join(classes, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "key")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id. Texts without shingles, and components without
+    any id, stay whole."""
+    fate = near_copies(docs).where("key IS NOT NULL AND component_id IS NOT NULL")
+    groups = fate.groupBy("component_id").agg(F.count(F.when(F.col("doc_id") == F.col("component_id"), 1)).alias("winners"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    listed = fate.join(groups, "component_id").withColumn("again", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).where("NOT again OR winners > 1")
+    listed = listed.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__lost_key")).agg(F.max("again").alias("again"), F.max("component_id").alias("__component"))
+    listed = short(materialize(listed, "lost"))
+
+    def keyed(batches):
+        for batch in _chunks(batches):
+            sets = shingle_sets(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([set_key(s) if len(s) else None for s in sets], pa.binary())], [*batch.schema.names, "__key"])
+
+    named = docs.mapInArrow(keyed, T.StructType([*docs.schema.fields, T.StructField("__key", T.BinaryType())]))
+    joined = named.join(listed, named["doc_id"].eqNullSafe(listed["__id"]) & (named["__key"] == listed["__lost_key"]), "left")
+    once = joined.where(F.col("__lost_key").isNull()).select(*docs.columns)
+    again = joined.where(F.col("again")).groupBy("__component").agg(F.max(F.struct(*docs.columns)).alias("x")).select("x.*")
+    return once.unionByName(again)

@@ -1,6 +1,8 @@
 """Query registry: each module pairs DataFrame functions with their DuckDB twins."""
 
-MODULES = ()
+from graphloom.queries import corpus, graphs
+
+MODULES = (corpus, graphs)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.common import materialize
-from graphloom.llm.words import raw_lower, sums_by_text, trigrams
+from graphloom.llm.words import raw_lower, table_sums, text_chunks, trigrams
 
 BITS, MOST_ROWS = 14, 8_000
 #: Weight of a trigram's log likelihood, and of a parent's shares in a host's prior (as a number of rows).
@@ -54,18 +54,16 @@ class Trigrams:
 def _counted(languages: list[str], keep: Trigrams | None):
     def run(batches):
         total, rows = np.zeros((len(languages), 1 << BITS), np.int64), np.zeros(len(languages), np.int64)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 400):
-                part = batch.slice(start, 400)
-                grams, n = trigrams(raw_lower(part.column("text").to_pylist()), BITS)
-                said = np.array([languages.index(x) for x in part.column("declared").to_pylist()], np.int64)
-                use = np.ones(len(said), bool)
-                if keep is not None:
-                    use = sums_by_text(keep.logs[grams], n).argmax(axis=1) == said
-                owner = np.repeat(np.where(use, said, -1), n)
-                for k in range(len(languages)):
-                    total[k] += np.bincount(grams[owner == k], minlength=1 << BITS)
-                    rows[k] += int((use & (said == k)).sum())
+        for part in text_chunks(batches):
+            grams, n = trigrams(raw_lower(part.column("text").to_pylist()), BITS)
+            said = np.array([languages.index(x) for x in part.column("declared").to_pylist()], np.int64)
+            use = np.ones(len(said), bool)
+            if keep is not None:
+                use = table_sums(keep.logs, grams, n).argmax(axis=1) == said
+            owner = np.repeat(np.where(use, said, -1), n)
+            for k in range(len(languages)):
+                total[k] += np.bincount(grams[owner == k], minlength=1 << BITS)
+                rows[k] += int((use & (said == k)).sum())
         yield pa.RecordBatch.from_arrays([pa.array(range(len(languages)), pa.int64()), pa.array(rows), pa.array(total.tolist(), pa.list_(pa.int64()))], ["k", "rows", "counts"])
 
     return run
@@ -97,14 +95,12 @@ def with_text_evidence(rows: DataFrame, model: Trigrams, text: Column) -> DataFr
     """rows with __said, an array of tempered log likelihoods (null for a text without letters)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 400):
-                part = batch.slice(start, 400)
-                texts = part.column("__text").to_pylist()
-                grams, n = trigrams(raw_lower(texts), BITS)
-                logs = TEMPER * sums_by_text(model.logs[grams], n)
-                said = [x.tolist() if t and any(map(str.isalpha, t)) else None for t, x in zip(texts, logs, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(said, pa.list_(pa.float64()))], [*names, "__said"])
+        for part in text_chunks(batches, "__text"):
+            texts = part.column("__text").to_pylist()
+            grams, n = trigrams(raw_lower(texts), BITS)
+            logs = TEMPER * table_sums(model.logs, grams, n)
+            said = [x.tolist() if t and any(map(str.isalpha, t)) else None for t, x in zip(texts, logs, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(said, pa.list_(pa.float64()))], [*names, "__said"])
 
     names = rows.columns
     schema = T.StructType([*rows.schema.fields, T.StructField("__said", T.ArrayType(T.DoubleType()))])

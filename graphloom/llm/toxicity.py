@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.words import MARKS, ODD, mixed, raw_lower, word_arrays
+from graphloom.llm.words import MARKS, ODD, mixed, raw_lower, text_chunks, word_arrays
 
 PREFIXES = (4, 5, 6, 7)
 MOST_ROWS, MOST_FEATURES = 20_000, 800
 GRADES = 3
 #: A text is toxic if the chance of a grade above 0 is over this; false alarms stay rare well below one half.
-TOXIC_AT = 0.2
+TOXIC_AT = 0.3
+#: Least log likelihood ratio of a mark: words that toxic rows share by chance stay below it.
+LEAST_GAIN = 8.0
 
 
 @dataclass
@@ -67,17 +69,15 @@ def feature_counts(texts: list[str | None], features: np.ndarray) -> Iterator[tu
 
 def _presence(batches):
     """feature, toxic, clean: how many rows of either label hold each feature."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, 400):
-            part = batch.slice(start, 400)
-            arrays, counts = word_arrays(raw_lower(part.column("text").to_pylist()), MARKS, PREFIXES)
-            toxic = np.array(part.column("toxic").to_pylist(), bool)
-            doc = np.repeat(np.arange(len(counts)), counts)
-            flat, of = np.concatenate(arrays), np.tile(doc, len(arrays))
-            _, once = np.unique(mixed(flat + of.astype(np.uint64) * ODD), return_index=True)
-            keys, at = np.unique(flat[once], return_inverse=True)
-            is_toxic = toxic[of[once]]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(at, is_toxic, len(keys)).astype(np.int64)), pa.array(np.bincount(at, ~is_toxic, len(keys)).astype(np.int64))], ["feature", "toxic", "clean"])
+    for part in text_chunks(batches):
+        arrays, counts = word_arrays(raw_lower(part.column("text").to_pylist()), MARKS, PREFIXES)
+        toxic = np.array(part.column("toxic").to_pylist(), bool)
+        doc = np.repeat(np.arange(len(counts)), counts)
+        flat, of = np.concatenate(arrays), np.tile(doc, len(arrays))
+        _, once = np.unique(mixed(flat + of.astype(np.uint64) * ODD), return_index=True)
+        keys, at = np.unique(flat[once], return_inverse=True)
+        is_toxic = toxic[of[once]]
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(at, is_toxic, len(keys)).astype(np.int64)), pa.array(np.bincount(at, ~is_toxic, len(keys)).astype(np.int64))], ["feature", "toxic", "clean"])
 
 
 def chosen_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, doc_id: str = "doc_id") -> DataFrame:
@@ -94,19 +94,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS)
     if not n_toxic or not n_clean:
         return Ordinal()
     seen = rows.mapInArrow(_presence, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    p, q = (F.col("toxic") + 0.5) / (n_toxic + 1), (F.col("clean") + 0.5) / (n_clean + 1)
-    marks = seen.where((F.col("toxic") >= max(3, n_toxic // 400)) & (p > 6 * q)).withColumn("gain", F.col("toxic") * F.log(p / q))
+    # How surprising a feature's rows would be if they were toxic as often as all rows are (a log likelihood ratio).
+    rate, rows_held = n_toxic / (n_toxic + n_clean), F.col("toxic") + F.col("clean")
+    gain = F.col("toxic") * F.log(F.col("toxic") / (rows_held * rate)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (rows_held * (1 - rate)))).otherwise(0.0)
+    marks = seen.where((F.col("toxic") > 0) & (F.col("toxic") / n_toxic > 6 * F.col("clean") / n_clean)).withColumn("gain", gain).where(F.col("gain") > LEAST_GAIN)
     marks = marks.orderBy(F.desc("gain"), "feature").limit(MOST_FEATURES).toPandas()
     features = np.sort(marks["feature"].to_numpy(np.int64).view(np.uint64))
     if not len(features):
         return Ordinal()
 
     def counted(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, 400):
-                part = batch.slice(start, 400)
-                got = list(feature_counts(part.column("text").to_pylist(), features))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("toxic"), pa.array([a.tolist() for a, _ in got], pa.list_(pa.int64())), pa.array([n.tolist() for _, n in got], pa.list_(pa.int64()))], ["doc_id", "toxic", "at", "n"])
+        for part in text_chunks(batches):
+            got = list(feature_counts(part.column("text").to_pylist(), features))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("toxic"), pa.array([a.tolist() for a, _ in got], pa.list_(pa.int64())), pa.array([n.tolist() for _, n in got], pa.list_(pa.int64()))], ["doc_id", "toxic", "at", "n"])
 
     table = rows.mapInArrow(counted, "doc_id long, toxic boolean, at array<long>, n array<long>").toPandas().sort_values("doc_id", kind="stable")
     x = np.zeros((len(table), len(features)), np.float32)
@@ -150,12 +150,10 @@ def scored(docs: DataFrame, model: Ordinal, text: str = "text") -> DataFrame:
     """docs with __severity (expected grade) and __toxic."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 400):
-                part = batch.slice(start, 400)
-                scores = np.array([model.weights[at] @ np.log1p(n) for at, n in feature_counts(part.column(text).to_pylist(), model.features)])
-                p = model.exceed(scores)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p.sum(axis=1)), pa.array(p[:, 0] > TOXIC_AT)], [*part.schema.names, "__severity", "__toxic"])
+        for part in text_chunks(batches, text):
+            scores = np.array([model.weights[at] @ np.log1p(n) for at, n in feature_counts(part.column(text).to_pylist(), model.features)])
+            p = model.exceed(scores)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p.sum(axis=1)), pa.array(p[:, 0] > TOXIC_AT)], [*part.schema.names, "__severity", "__toxic"])
 
     from pyspark.sql import types as T
 

@@ -103,8 +103,31 @@ def trigrams(raw: list[bytes], bits: int, apart: np.ndarray = MARKS) -> tuple[np
     return h[keep], sizes
 
 
-def sums_by_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sums of consecutive runs of rows."""
-    total = np.concatenate([np.zeros((1, *values.shape[1:]), np.float64), np.cumsum(values, axis=0, dtype=np.float64)])
-    ends = np.cumsum(counts)
-    return total[ends] - total[ends - counts]
+def run_sums(rows_of, n: int, counts: np.ndarray, width: int, block: int = 1 << 16) -> np.ndarray:
+    """Sums of consecutive runs of n rows, which rows_of(a, b) gives a block at a time; counts: the runs' lengths."""
+    out = np.zeros((len(counts), width))
+    owner = np.repeat(np.arange(len(counts)), counts)
+    for a in range(0, n, block):
+        b = min(n, a + block)
+        first = np.flatnonzero(np.concatenate([[True], owner[a + 1 : b] != owner[a : b - 1]]))
+        out[owner[a:b][first]] += np.add.reduceat(rows_of(a, b), first, axis=0, dtype=np.float64)
+    return out
+
+
+def table_sums(table: np.ndarray, index: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of table[index] over consecutive runs."""
+    return run_sums(lambda a, b: table[index[a:b]], len(index), counts, table.shape[1])
+
+
+def text_chunks(batches, column: str = "text", most_rows: int = 400, most_bytes: int = 1 << 21):
+    """Slices of Arrow batches of so many rows and so much text at most; a longer text is alone."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), np.int64)
+        at = 0
+        while at < batch.num_rows:
+            fit = int(np.searchsorted(np.cumsum(sizes[at : at + most_rows]), most_bytes, side="right"))
+            end = at + max(1, fit)
+            yield batch.slice(at, end - at)
+            at = end

@@ -1,8 +1,8 @@
 """Query registry: each module pairs DataFrame functions with their DuckDB twins."""
 
-from graphloom.queries import corpus, graphs, resolution
+from graphloom.queries import corpus, graphs, resolution, sources
 
-MODULES = (corpus, graphs, resolution)
+MODULES = (corpus, graphs, resolution, sources)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}

@@ -30,7 +30,7 @@ PREFIXES = (4, 5, 6, 7)
 MOST_ROWS, MOST_FEATURES = 20_000, 800
 GRADES = 3
 #: A text is toxic if the chance of a grade above 0 is over this; false alarms stay rare well below one half.
-TOXIC_AT = 0.3
+TOXIC_AT = 0.2
 #: Least log likelihood ratio of a mark: words that toxic rows share by chance stay below it.
 LEAST_GAIN = 8.0
 
@@ -109,38 +109,45 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS)
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("toxic"), pa.array([a.tolist() for a, _ in got], pa.list_(pa.int64())), pa.array([n.tolist() for _, n in got], pa.list_(pa.int64()))], ["doc_id", "toxic", "at", "n"])
 
     table = rows.mapInArrow(counted, "doc_id long, toxic boolean, at array<long>, n array<long>").toPandas().sort_values("doc_id", kind="stable")
-    x = np.zeros((len(table), len(features)), np.float32)
-    for i, (at, n) in enumerate(zip(table["at"], table["n"], strict=True)):
+    # Rows without any feature are alike: one row of each label stands for all of them, with their number as its weight.
+    table["held"] = table["at"].map(len) > 0
+    some = table[table["held"]]
+    bare = table[~table["held"]].groupby("toxic").size()
+    x = np.zeros((len(some) + len(bare), len(features)), np.float32)
+    for i, (at, n) in enumerate(zip(some["at"], some["n"], strict=True)):
         x[i, np.asarray(at, np.int64)] = np.log1p(np.asarray(n, np.float64))
-    toxic = table["toxic"].to_numpy(bool)
+    toxic = np.concatenate([some["toxic"].to_numpy(bool), bare.index.to_numpy(bool)])
+    shares = np.concatenate([np.ones(len(some)), bare.to_numpy(float)])
     marks_held = np.expm1(x).sum(axis=1)
-    cuts = np.quantile(marks_held[toxic], [1 / 3, 2 / 3])
+    cuts = np.quantile(np.repeat(marks_held[toxic], shares[toxic].astype(int)), [1 / 3, 2 / 3])
     grades = np.where(toxic, 1 + (marks_held > cuts[0]).astype(int) + (marks_held > cuts[1]), 0)
-    weights, thresholds = fit_ordinal(x, grades, GRADES)
+    weights, thresholds = fit_ordinal(x, grades, GRADES, shares)
     return Ordinal(features, weights, thresholds)
 
 
-def fit_ordinal(x: np.ndarray, grades: np.ndarray, top: int, rounds: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, grades: np.ndarray, top: int, shares: np.ndarray | None = None, rounds: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Adam on the likelihood of the grades. Thresholds are a first one and positive steps, so they stay in order."""
     n, f = x.shape
+    shares = np.full(n, 1 / n) if shares is None else shares / shares.sum()
+    x = x.astype(np.float32)
     params = np.concatenate([np.zeros(f), [1.0], np.zeros(top - 1)])
     m, v = np.zeros_like(params), np.zeros_like(params)
     for step in range(1, rounds + 1):
         w, first, gaps = params[:f], params[f], np.exp(params[f + 1 :])
         t = first + np.concatenate([[0.0], np.cumsum(gaps)])
-        p = 1 / (1 + np.exp(-np.clip((x @ w)[:, None] - t[None, :], -40, 40)))
+        p = 1 / (1 + np.exp(-np.clip((x @ w.astype(np.float32)).astype(float)[:, None] - t[None, :], -40, 40)))
         # P(grade = k) is a difference of neighbours; its gradient follows from those of both.
         bounds = np.concatenate([np.ones((n, 1)), p, np.zeros((n, 1))], axis=1)
         slopes = bounds * (1 - bounds)
         mine = np.arange(n)
         likely = np.maximum(bounds[mine, grades] - bounds[mine, grades + 1], 1e-9)
         up, down = slopes[mine, grades] / likely, slopes[mine, grades + 1] / likely
-        score = -(up - down) / n
+        score = -(up - down) * shares
         at_t = np.zeros((n, top + 2))
-        at_t[mine, grades] += up / n
-        at_t[mine, grades + 1] -= down / n
+        at_t[mine, grades] += up * shares
+        at_t[mine, grades + 1] -= down * shares
         dt = at_t[:, 1:-1].sum(axis=0)
-        gradient = np.concatenate([x.T @ score + decay * w, [dt.sum()], np.cumsum(dt[::-1])[::-1][1:] * gaps])
+        gradient = np.concatenate([x.T @ score.astype(np.float32) + decay * w, [dt.sum()], np.cumsum(dt[::-1])[::-1][1:] * gaps])
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         params = params - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return params[:f], params[f] + np.concatenate([[0.0], np.cumsum(np.exp(params[f + 1 :]))])

@@ -17,6 +17,7 @@ a null doc_id stays null; other columns play no part; an empty table gives an em
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -26,8 +27,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import worker_cache
-
 WINDOW, END_ID = 2048, 1
 #: Open windows that a partition holds at most.
 MOST_OPEN = 2048
@@ -40,19 +39,25 @@ class ByteBpe:
     def __init__(self, name: str = "byte_bpe_50k"):
         import public_tokenizers as public
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(public.path(f"{name}.json"))
-        self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
+        self.file, self.exact = public.path(f"{name}.json"), None
+        with open(self.file, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         with open(public.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding(name, pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
-            return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
+            return self.slow(text)
         return self.fast.encode_to_numpy(text, disallowed_special=())
 
+    def slow(self, text: str) -> np.ndarray:
+        from tokenizers import Tokenizer
+
+        self.exact = self.exact or Tokenizer.from_file(self.file)
+        return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
+
 
 class Windows:
     """Sum-of-squares packing of pieces (doc_id, start, ids, doc_tokens); rows() takes what has been placed."""
@@ -135,7 +140,7 @@ def packed(docs: DataFrame, window: int = WINDOW, tokenizer=ByteBpe) -> DataFram
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = worker_cache(f"tokenizer {tokenizer.__name__}", tokenizer)
+        encode = tokenizer()
         windows = Windows(window, TaskContext.get().partitionId() << 40)
         end = np.array([END_ID], np.uint32)
         for batch in batches:

@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from graphloom.llm.common import materialize, short
 from graphloom.llm.components import components
 from graphloom.llm.shingles import folded, folded_int, parity_bitmap, set_key, shingle_sets
+from graphloom.llm.words import text_chunks
 
 PERCENT = 80
 #: Frequent shingles that are put last in the order, and counters of the summary that finds them.
@@ -47,12 +48,6 @@ def prefix_length(n: int) -> int:
     return n - (PERCENT * n + 99) // 100 + 1
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 400) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def _lowered(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A Misra-Gries step: with more than COUNTERS counts, all are lowered until no more are left."""
     if len(keys) > COUNTERS:
@@ -78,7 +73,7 @@ def _summaries(batches):
         held.clear()
         return _merged(np.concatenate([keys, more[0]]), np.concatenate([counts, more[1]]))
 
-    for batch in _chunks(batches):
+    for batch in text_chunks(batches):
         sets = shingle_sets(batch.column("text").to_pylist())
         held += sets
         size += sum(map(len, sets))
@@ -86,7 +81,8 @@ def _summaries(batches):
             keys, counts = flush()
             size = 0
     keys, counts = flush()
-    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["shingle", "n"])
+    keep = counts > 1
+    yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(counts[keep])], ["shingle", "n"])
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
@@ -118,7 +114,7 @@ def _signatures(frequent: np.ndarray):
         return np.concatenate([cold, a[hot][np.argsort(rank[at[hot]])][: most - len(cold)]])
 
     def run(batches):
-        for batch in _chunks(batches):
+        for batch in text_chunks(batches):
             sets = shingle_sets(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -135,7 +131,7 @@ def _signatures(frequent: np.ndarray):
 
 
 def _arrays(batches):
-    for batch in _chunks(batches):
+    for batch in text_chunks(batches):
         sets = shingle_sets(batch.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "shingles"])
 
@@ -278,15 +274,22 @@ def _band(n: Column, shift: float) -> Column:
 
 
 def _partners(nodes: DataFrame) -> DataFrame:
-    """shingle, key, n, weight: classes that share a prefix shingle; weight: the part of its prefix that a class shares."""
-    each = nodes.select("key", "n", F.size("prefix").alias("m"), F.explode("prefix").alias("shingle"))
-    both = each.withColumn("holders", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("holders > 1")
-    return materialize(both.select("shingle", "key", "n", "m"), "partners")
+    """shingle, key, n: classes that share a prefix shingle with one of a size that can link (in order of size, it is enough
+    to look at both neighbours). Shingles that bring the same classes together, as those of one passage do, become one: a
+    group is named by the hashes of its members. Short ids stand for keys on the way; two keys with one id both come back."""
+    each = nodes.select(F.xxhash64("key").alias("id"), "n", F.explode("prefix").alias("shingle"))
+    group = Window.partitionBy("shingle")
+    order = group.orderBy("n")
+    close = lambda small, large: F.coalesce(100 * small >= PERCENT * large, F.lit(False))
+    near = close(F.lag("n").over(order), F.col("n")) | close(F.col("n"), F.lead("n").over(order))
+    both = each.withColumns({"near": near, "holders": F.count(F.lit(1)).over(group), "x": F.expr("bit_xor(xxhash64(id))").over(group), "y": F.expr("bit_xor(xxhash64(id, 1))").over(group)}).where("near")
+    short_ids = both.select(F.xxhash64("holders", "x", "y").alias("shingle"), "id").distinct()
+    return materialize(short_ids.join(nodes.select(F.xxhash64("key").alias("id"), "key", "n"), "id").select("shingle", "key", "n"), "partners")
 
 
 def _star_pairs(partners: DataFrame, nodes: DataFrame) -> DataFrame:
     """Each class with the most typical one under the same prefix shingle and size band, if their bitmaps allow a link."""
-    weight = partners.groupBy("key").agg((F.count(F.lit(1)) / F.first("m")).alias("weight"))
+    weight = partners.groupBy("key").agg(F.count(F.lit(1)).alias("weight"))
     rows = partners.join(weight, "key")
     pairs = None
     for shift in (0.0, 0.5):
@@ -318,10 +321,7 @@ def _star_links(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
 def _tile_rows(partners: DataFrame, labels: DataFrame) -> DataFrame:
     """shingle, low, high, block, key, label, n: a row for each tile that a class takes part in."""
     rows = partners.select("shingle", "key", "n").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    fits = F.expr("bit_xor(xxhash64(key))").alias("x"), F.sum(F.xxhash64("key").cast("decimal(20,0)")).alias("s")
-    groups = rows.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("holders"), *fits).where("lo != hi")
-    # Shingles of one passage bring the same classes together; one of them is enough.
-    groups = groups.groupBy("holders", "x", "s").agg(F.min("shingle").alias("shingle")).select("shingle", "holders")
+    groups = rows.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("holders")).where("lo != hi").select("shingle", "holders")
     rows = materialize(rows.join(groups, "shingle"), "open")
     small = rows.where(F.col("holders") <= TILE_ROWS // 2).select("shingle", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"), F.lit(0).cast("long").alias("block"), "key", "label", "n")
     order = Window.partitionBy("shingle").orderBy("n", "key").rowsBetween(Window.unboundedPreceding, 0)
@@ -340,7 +340,7 @@ def _by_tile(rows: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and key (the class) for each document."""
+    """doc_id, n_shingles, component_id, key (the class) and component (its smallest key) for each document."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     run = _signatures(frequent_shingles(docs))
     signed = materialize(docs.mapInArrow(run, "doc_id long, n long, key binary, prefix array<long>, bitmap binary"), "signed")
@@ -362,22 +362,22 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     named = nodes.select("key", "least").join(found, nodes["key"] == found["node"], "left").withColumn("component", F.coalesce("component", "key"))
     named = named.select("key", "component", "least")
     lowest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = named.join(lowest, "component").select("key", "component_id")
+    classes = named.join(lowest, "component").select("key", "component", "component_id")
     out = signed.select("doc_id", "n", "key").join(classes, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "key")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "key", "component")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id. Texts without shingles, and components without
     any id, stay whole."""
     fate = near_copies(docs).where("key IS NOT NULL AND component_id IS NOT NULL")
-    groups = fate.groupBy("component_id").agg(F.count(F.when(F.col("doc_id") == F.col("component_id"), 1)).alias("winners"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    listed = fate.join(groups, "component_id").withColumn("again", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).where("NOT again OR winners > 1")
-    listed = listed.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__lost_key")).agg(F.max("again").alias("again"), F.max("component_id").alias("__component"))
+    groups = fate.groupBy("component").agg(F.count(F.when(F.col("doc_id") == F.col("component_id"), 1)).alias("winners"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    listed = fate.join(groups, "component").withColumn("again", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).where("NOT again OR winners > 1")
+    listed = listed.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__lost_key")).agg(F.max("again").alias("again"), F.max("component").alias("__component"))
     listed = short(materialize(listed, "lost"))
 
     def keyed(batches):
-        for batch in _chunks(batches):
+        for batch in text_chunks(batches):
             sets = shingle_sets(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([set_key(s) if len(s) else None for s in sets], pa.binary())], [*batch.schema.names, "__key"])
 

@@ -9,7 +9,7 @@ from graphloom.llm.jaccard_join import near_copies
 
 
 def op4_jaccard_join(spark, sf_dir):
-    return near_copies(table(spark, sf_dir, "documents")).drop("key")
+    return near_copies(table(spark, sf_dir, "documents")).drop("key", "component")
 
 
 QUERIES = {"op4_jaccard_join": op4_jaccard_join}

@@ -8,7 +8,7 @@ RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 
 
 def op1_url_filters(spark, sf_dir):
-    rules = spark.createDataFrame(list(RULES), "host string, path string, verdict string")
+    rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, RULES))} AS t(host, path, verdict)")
     return url_verdicts(table(spark, sf_dir, "pages"), rules)
 
 

@@ -24,8 +24,7 @@ def terms(c: Column) -> Column:
     spaced = F.regexp_replace(F.coalesce(c, F.lit("")), r"([\p{Ll}\p{N}])(\p{Lu})", "$1 $2")
     words = F.split(spaced, r"[^\p{L}\p{N}]+")
     fit = F.filter(words, lambda w: (F.length(w) > 1) & (F.octet_length(w) <= LONGEST_TERM_BYTES))
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(F.transform(fit, lambda w: F.lower(w)), lambda w: ~F.array_contains(stop, w))
+    return F.filter(F.transform(fit, lambda w: F.lower(w)), lambda w: ~w.isin(STOP_WORDS))
 
 
 def lines(c: Column) -> Column:

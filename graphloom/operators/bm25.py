@@ -17,31 +17,29 @@ def postings(docs: DataFrame, content: Column, key: str = "key") -> DataFrame:
     return words.select(key, F.size("words").alias("length"), F.explode("words").alias("term")).groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_stats(docs: DataFrame, content: Column, query_terms: list[str]) -> DataFrame:
-    """One row: n, average length (at least 1), and df of each query term. All documents count, filtered or not."""
-    words = docs.select(terms(content).alias("words"))
-    held = [F.count_if(F.array_contains("words", t)).alias(f"df_{i}") for i, t in enumerate(query_terms)]
-    return words.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.sum(F.size("words")) / F.greatest(F.count(F.lit(1)), F.lit(1)), F.lit(1.0)).alias("average"), *held)
-
-
 def bm25(docs: DataFrame, content: Column, query_terms: list[str], candidates: Column | None = None, key: str = "key", digits: int = 6) -> DataFrame:
     """key and score of the documents that hold a query term. `candidates` filters what is scored, never what is counted.
 
-    Terms of the query alone are counted within each row, so the corpus is read twice and nothing but one row of
-    statistics is shuffled or broadcast."""
+    Each document is tokenized once, to its length and the counts of the query's terms; these narrow rows are shuffled once
+    and read by both the statistics (one row, broadcast) and the scores."""
     query_terms = sorted(set(query_terms))
-    stats = F.broadcast(corpus_stats(docs, content, query_terms))
-    rows = docs if candidates is None else docs.where(candidates)
-    rows = rows.withColumn("__words", terms(content)).where(F.arrays_overlap("__words", F.array(*map(F.lit, query_terms))))
-    scored = rows.join(stats, F.lit(True))
-    norm = K1 * (1 - B + B * F.size("__words") / F.col("average"))
-    parts = []
-    for i, t in enumerate(query_terms):
-        tf = F.size("__words") - F.size(F.array_remove("__words", t))
+    wanted = F.filter("__words", lambda w: w.isin(query_terms))
+    kept = F.lit(True) if candidates is None else F.coalesce(candidates, F.lit(False))
+    rows = docs.select(key, kept.alias("__kept"), terms(content).alias("__words")).select(key, "__kept", F.size("__words").alias("length"), wanted.alias("__hits"))
+    tf = [(F.size("__hits") - F.size(F.array_remove("__hits", t))).alias(f"tf_{i}") for i, t in enumerate(query_terms)]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select(key, "__kept", "length", *tf).repartition(parts, key)
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.sum("length") / F.greatest(F.count(F.lit(1)), F.lit(1)), F.lit(1.0)).alias("average"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(query_terms))])
+    held = F.lit(False)
+    for i in range(len(query_terms)):
+        held |= F.col(f"tf_{i}") > 0
+    scored = rows.where(F.col("__kept") & held).join(F.broadcast(stats), F.lit(True))
+    norm = K1 * (1 - B + B * F.col("length") / F.col("average"))
+    score = F.lit(0.0)
+    for i in range(len(query_terms)):
         idf = F.log(1 + F.greatest(F.col("n") - F.col(f"df_{i}") + 0.5, F.lit(0.0)) / (F.col(f"df_{i}") + 0.5))
-        parts.append(idf * tf * (K1 + 1) / (tf + norm))
-    score = F.round(sum(parts[1:], parts[0]), digits)
-    return scored.withColumn("score", score).drop("__words", "n", "average", *[f"df_{i}" for i in range(len(query_terms))])
+        score += idf * F.col(f"tf_{i}") * (K1 + 1) / (F.col(f"tf_{i}") + norm)
+    return scored.select(key, F.round(score, digits).alias("score"))
 
 
 def bm25_from_postings(posts: DataFrame, query_terms: list[str], key: str = "key", digits: int = 6) -> DataFrame:

@@ -198,13 +198,13 @@ SELECT doc_id, round(sum(ln(1 + greatest(n - df + 0.5::DOUBLE, 0) / (df + 0.5::D
 @add(_BM25.replace("KEPT", "true"))
 def bm25_topk(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bm25.bm25(d, F.col("text"), list(BM25_TERMS)).select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(20)
+    return bm25.bm25(d, F.col("text"), list(BM25_TERMS), key="doc_id").orderBy(F.desc("score"), "doc_id").limit(20)
 
 
 @add(_BM25.replace("KEPT", "lang = 'en'"))
 def bm25_filtered(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return bm25.bm25(d, F.col("text"), list(BM25_TERMS), candidates=F.col("lang") == "en").select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(20)
+    return bm25.bm25(d, F.col("text"), list(BM25_TERMS), candidates=F.col("lang") == "en", key="doc_id").orderBy(F.desc("score"), "doc_id").limit(20)
 
 
 @add(_BM25.replace("KEPT", "true").replace("documents)", "documents WHERE len(" + terms_sql("text") + ") > 0)"))

@@ -30,7 +30,7 @@ from graphloom.llm.common import materialize
 
 K = 20
 #: The tree is fitted on at most SAMPLE classes; a leaf is meant to hold LEAF classes, but its share of the sample is at least LEAST.
-SAMPLE, LEAF, LEAST, BRANCHES = 20_000, 256, 8, 8
+SAMPLE, LEAF, LEAST, BRANCHES = 20_000, 1024, 8, 8
 #: Queries whose exact neighbours calibrate the visits, and the recall that these must reach.
 CALIBRATION, RECALL = 256, 0.95
 #: Vectors and queries of a tile.
@@ -132,6 +132,27 @@ def _best(scores: np.ndarray, ids: list[list[int]], k: int) -> tuple[list[int],
     return [x for _, x in pairs], [s for s, _ in pairs]
 
 
+def _tile_best(q: np.ndarray, matrix: np.ndarray, ids: list[list[int]]):
+    """(ids, scores) of the best of a tile for each query. A quick product chooses; the chosen are scored one by one."""
+    rough = q @ matrix.T
+    most = min(K + 5, len(matrix))
+    top = np.argpartition(-rough, most - 1, axis=1)[:, :most]
+    least = np.take_along_axis(rough, top, axis=1).min(axis=1) - 1e-12
+    tied = (rough >= least[:, None]).sum(axis=1) > most
+    single = np.array([len(x) == 1 for x in ids])
+    first = np.array([x[0] for x in ids])[top]
+    scores = np.stack([(matrix[cols] * one).sum(axis=1) for cols, one in zip(top, q, strict=True)])
+    order = np.lexsort((first, -scores), axis=1)[:, : K + 1]
+    first, scores = np.take_along_axis(first, order, axis=1), np.take_along_axis(scores, order, axis=1)
+    for r, cols in enumerate(top):
+        if tied[r] or not single[cols].all():
+            # Ties at the edge of the quick choice stay in, and classes bring all their ids.
+            cols = np.flatnonzero(rough[r] >= least[r])
+            yield _best((matrix[cols] * q[r]).sum(axis=1), [ids[c] for c in cols], K + 1)
+        else:
+            yield first[r], scores[r]
+
+
 def _neighbours(batches):
     """A tile's vectors (side 0) come before its queries (side 1); for each query its best in the tile."""
     tile, vectors, ids, matrix = None, [], [], None
@@ -152,17 +173,12 @@ def _neighbours(batches):
                 if matrix is None:
                     matrix = np.concatenate(vectors)
                 for q0 in range(at, end, 256):
-                    rough = x[q0 : min(end, q0 + 256)] @ matrix.T
-                    most = min(K + 5, len(matrix))
-                    top = np.argpartition(-rough, most - 1, axis=1)[:, :most]
-                    for r, cols in enumerate(top):
-                        # Ties at the edge of the rough choice stay in.
-                        cols = np.flatnonzero(rough[r] >= rough[r, cols].min() - 1e-12)
-                        found = _best((matrix[cols] * x[q0 + r]).sum(axis=1), [ids[c] for c in cols], K + 1)
+                    q1 = min(end, q0 + 256)
+                    for r, found in enumerate(_tile_best(x[q0:q1], matrix, ids)):
                         for o, v in zip(out, (keys[q0 + r], *found), strict=True):
                             o.append(v)
             at = end
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.list_(pa.float64()))], ["key", "ids", "scores"])
+        yield _results(list(zip(*out, strict=True)))
 
 
 def _merged(batches):
@@ -203,12 +219,12 @@ def _calibrated(tree: Tree, largest: float, indexed: DataFrame, queries: DataFra
         for b in batches:
             if not b.num_rows:
                 continue
-            scores, own, leaf = _matrix(b.column("v")) @ q.T, b.column("key").to_pylist(), b.column("leaf").to_pylist()
+            scores, own, leaf = _matrix(b.column("v")) @ q.T, b.column("key").to_pylist(), np.asarray(b.column("leaf").to_pylist(), np.int64)
             most = min(K + 1, len(scores))
-            for j in range(len(q)):
-                top = np.argpartition(-scores[:, j], most - 1)[:most]
-                top = [i for i in top if own[i] != keys[j]]
-                yield pa.RecordBatch.from_arrays([pa.array([j] * len(top), pa.int64()), pa.array([leaf[i] for i in top], pa.int64()), pa.array(scores[top, j], pa.float64())], ["q", "leaf", "score"])
+            top = np.argpartition(-scores, most - 1, axis=0)[:most]
+            of = np.tile(np.arange(len(q)), (most, 1))
+            keep = np.array([[own[i] != keys[j] for j, i in enumerate(row)] for row in top])
+            yield pa.RecordBatch.from_arrays([pa.array(of[keep], pa.int64()), pa.array(leaf[top[keep]], pa.int64()), pa.array(np.take_along_axis(scores, top, axis=0)[keep], pa.float64())], ["q", "leaf", "score"])
 
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "leaf"))
     found = indexed.select("key", "v", "leaf").mapInArrow(exact, "q long, leaf long, score double").withColumn("rank", rank).where(F.col("rank") <= K).groupBy("q", "leaf").count().toPandas()

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.toxicity import chosen_rows
-from graphloom.llm.words import MARKS, SPACES, mixed, raw_words, sums_by_text, trigrams, word_hashes
+from graphloom.llm.words import MARKS, SPACES, mixed, raw_words, text_chunks, trigrams, word_hashes
 
 DIMS, BITS, WINDOW = 64, 12, 2
 #: Frequent words that get vectors from their neighbours, counters of the summary that finds them, and neighbour buckets.
@@ -39,6 +39,7 @@ def signs(h: np.ndarray) -> np.ndarray:
 
 
 GRAM_SIGNS = signs(mixed(np.arange(1 << BITS, dtype=np.uint64) + np.uint64(11)))
+BYTE_SIGNS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1
 NEIGHBOUR_SIGNS = signs(mixed(np.arange(NEIGHBOURS, dtype=np.uint64) + np.uint64(1 << 40)))
 
 
@@ -60,23 +61,34 @@ class Network:
         return 1 / (1 + np.exp(-np.clip((hidden @ c + d) / self.temperature, -30, 30)))
 
 
-def _parts(batches: Iterator[pa.RecordBatch], rows: int = 400) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            part = batch.slice(at, rows)
-            yield part, raw_words(part.column("text").to_pylist())
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    for part in text_chunks(batches):
+        yield part, raw_words(part.column("text").to_pylist())
 
 
 def _frequent(batches):
     """Misra-Gries counts of words."""
-    keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+    keys, counts, held, size = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
+
+    def merged():
+        more, n = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
+        if len(n) > 4 * COUNTERS:
+            n = n - np.partition(n, len(n) - 4 * COUNTERS - 1)[len(n) - 4 * COUNTERS - 1]
+            more, n = more[n > 0], n[n > 0]
+        both, at = np.unique(np.concatenate([keys, more]), return_inverse=True)
+        total = np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int64)
+        if len(both) > COUNTERS:
+            total -= np.partition(total, len(total) - COUNTERS - 1)[len(total) - COUNTERS - 1]
+            both, total = both[total > 0], total[total > 0]
+        held.clear()
+        return both, total
+
     for _, raw in _parts(batches):
-        more, n = np.unique(word_hashes(raw, MARKS)[0], return_counts=True)
-        keys, at = np.unique(np.concatenate([keys, more]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([counts, n])).astype(np.int64)
-        if len(keys) > COUNTERS:
-            counts -= np.partition(counts, len(counts) - COUNTERS - 1)[len(counts) - COUNTERS - 1]
-            keys, counts = keys[counts > 0], counts[counts > 0]
+        held.append(word_hashes(raw, MARKS)[0])
+        size += len(held[-1])
+        if size > 1_000_000:
+            (keys, counts), size = merged(), 0
+    keys, counts = merged()
     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["word", "n"])
 
 
@@ -113,17 +125,26 @@ def fit_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return words, (v / np.maximum(1e-9, np.linalg.norm(v, axis=1, keepdims=True))).astype(np.float32)
 
 
+def counted(owner: np.ndarray, kind: np.ndarray, rows: int, kinds: int) -> np.ndarray:
+    """How often each of the kinds occurs in each row."""
+    return np.bincount(owner * kinds + kind, minlength=rows * kinds).reshape(rows, kinds).astype(np.float32)
+
+
 def features(raw: list[bytes], words: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Means of vectors come from counts: a sum of table rows is the counts times the table."""
     h, n = word_hashes(raw, MARKS)
     at = np.searchsorted(words, h)
     at[at == len(words)] = 0
     known = words[at] == h if len(words) else np.zeros(len(h), bool)
     doc = np.repeat(np.arange(len(n)), n)
     n_known = np.bincount(doc[known], minlength=len(n))
-    context = sums_by_text(vectors[at[known]], n_known) if len(words) else np.zeros((len(n), DIMS))
+    context = counted(doc[known], at[known], len(n), len(words)) @ vectors if len(words) else np.zeros((len(n), DIMS))
+    # The index vector of a word, its hash's bits, is made of eight bytes.
+    own = np.concatenate([counted(doc, part, len(n), 256) @ BYTE_SIGNS for part in np.ascontiguousarray(h).view(np.uint8).reshape(len(h), 8).T.astype(np.int64)], axis=1)
     grams, g = trigrams(raw, BITS, SPACES)
+    spelled = counted(np.repeat(np.arange(len(g)), g), grams, len(g), 1 << BITS) @ GRAM_SIGNS
     per = lambda total, count: total / np.maximum(1, count)[:, None]
-    own, context, spelled = per(sums_by_text(signs(h), n), n), per(context, n_known), per(sums_by_text(GRAM_SIGNS[grams], g), g)
+    own, context, spelled = per(own, n), per(context, n_known), per(spelled, g)
     size = np.stack([np.log1p(n), np.log1p(g), np.log1p(g) - np.log1p(n), n_known / np.maximum(1, n)], axis=1)
     lengths = np.stack([np.log(1e-3 + np.linalg.norm(x, axis=1)) for x in (own, context, spelled)], axis=1)
     return np.concatenate([own, context, spelled, lengths, size], axis=1)

@@ -171,21 +171,21 @@ _TREE = """WITH RECURSIVE e AS (SELECT DISTINCT 'n:' || c.c_nationkey AS source,
 w AS (SELECT target AS node, ['n:1', target] AS path, 1 AS level FROM e WHERE source = 'n:1' AND target <> 'n:1' UNION ALL SELECT e.target, list_append(w.path, e.target), level + 1 FROM w JOIN e ON w.node = e.source WHERE level < 3 AND NOT list_contains(w.path, e.target))"""
 
 
-def _rare_calls(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    x = table(spark, sf_dir, "lineitem").where("l_quantity > 45").join(o, "l_orderkey")
+def _calls(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    x = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(o, "l_orderkey")
     x = x.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey").join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
     return x.select(F.concat(F.lit("n:"), F.col("c_nationkey").cast("string")).alias("source"), F.concat(F.lit("n:"), F.col("s_nationkey").cast("string")).alias("target"), F.lit("calls").alias("kind")).distinct()
 
 
 @add(_TREE + " SELECT node, path, level FROM w")
 def impact_tree(spark, sf_dir):
-    return traverse.simple_paths(_rare_calls(spark, sf_dir), spark.sql("SELECT 'n:1' AS node"), 3).select("node", "path", "level")
+    return traverse.simple_paths(_calls(spark, sf_dir), spark.sql("SELECT 'n:1' AS node"), 3).select("node", "path", "level")
 
 
 @add(_TREE + " SELECT 'n:1' AS seed, count_if(level = 1) AS direct, count(DISTINCT node) AS total, count(DISTINCT r) AS files, max(level) AS depth FROM w LEFT JOIN (SELECT 'n:' || n_nationkey AS id, n_regionkey AS r FROM nation) ON id = node HAVING count(*) > 0")
 def impact_counts(spark, sf_dir):
-    paths = traverse.simple_paths(_rare_calls(spark, sf_dir), spark.sql("SELECT 'n:1' AS node"), 3)
+    paths = traverse.simple_paths(_calls(spark, sf_dir), spark.sql("SELECT 'n:1' AS node"), 3)
     nodes = _regions(spark, sf_dir).select("id", F.col("community").alias("path"))
     return traverse.impact_counts(paths, nodes)
 

@@ -45,7 +45,8 @@ def import_candidates(spark, sf_dir):
     return intervals.first_existing(i, intervals.python_candidates(F.col("importer"), F.col("specifier")), known)
 
 
-# A reference for each order: a part's name is used from the customer's package.
+# A reference for each order: a part's name is used from the customer's package. Spark takes every order and goes round all
+# parts (keys from 0); the SQL still has a fifth of the orders and 150 parts.
 _RS = """x AS (SELECT o_orderkey AS k, o_orderkey % 7 + 1 AS n, o_custkey AS c, 1 + o_custkey % 150 AS part FROM orders WHERE o_orderkey % 5 = 0),
 r AS (SELECT k AS ref_id, p_name AS name, CASE WHEN n % 3 = 0 THEN 'type' ELSE 'call' END AS ref_kind, CASE WHEN n % 4 = 0 THEN 'value' ELSE 'none' END AS receiver_kind, CASE WHEN n % 4 = 0 AND k % 2 = 0 THEN p_brand END AS receiver_type, p_brand AS owner, 'pkg' || (c % 5) AS package,
  'f' || (c % 11) AS file, 'java' AS family, c % 4 AS arg_count, k % 11 = 10 AS local_only FROM x JOIN part ON part = p_partkey),
@@ -53,7 +54,8 @@ s AS (SELECT p_partkey AS symbol_id, p_name AS name, p_brand || '.' || p_name AS
 
 
 def _refs(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 7 + 1).alias("n"), F.col("o_custkey").alias("c"), (1 + F.col("o_custkey") % 150).alias("p_partkey"))
+    parts = table(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("parts"))
+    o = table(spark, sf_dir, "orders").join(F.broadcast(parts), F.lit(True)).select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 7 + 1).alias("n"), F.col("o_custkey").alias("c"), (F.col("o_orderkey") % F.col("parts")).alias("p_partkey"))
     x = o.join(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"), "p_partkey")
     n, k, none, empty = F.col("n"), F.col("k"), F.lit(None).cast("string"), F.array().cast("array<string>")
     return x.select(

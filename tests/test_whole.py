@@ -33,3 +33,13 @@ def same(spark, con, name, *lifted):
 @pytest.mark.parametrize("name", ["impact_tree", "impact_counts"])
 def test_calls_of_all_orders(spark, con, name):
     assert same(spark, con, name, (" WHERE l_quantity > 45 AND o_orderkey % 20 = 0", ""))
+
+
+def test_every_order_is_a_reference(spark, con):
+    from graphloom.queries.resolution import _refs
+
+    refs = _refs(spark, SF)
+    assert refs.count() == con.execute("SELECT count(*) FROM orders").fetchall()[0][0]
+    names = con.execute("SELECT count(DISTINCT p_name) FROM part").fetchall()[0][0]
+    assert refs.select("name").distinct().count() == names
+    same(spark, con, "scored_resolution", ("WHERE o_orderkey % 5 = 0", ""), ("1 + o_custkey % 150", "o_orderkey % (SELECT count(*) FROM part)"))

@@ -32,7 +32,7 @@ def innermost_interval(spark, sf_dir):
 @add(f"""WITH s AS ({_SPANS}), r AS (SELECT o_orderkey AS range_id, o_orderkey AS file_id, 20 + o_custkey % 30 AS lo, 22 + o_custkey % 30 AS hi FROM orders WHERE o_orderkey % 5 = 0)
 SELECT range_id, span_id, CAST(row_number() OVER (PARTITION BY range_id ORDER BY "end" - "start", "start", span_id) AS INT) AS place FROM r JOIN s USING (file_id) WHERE lo <= "end" AND hi >= "start\"""")
 def overlap_join(spark, sf_dir):
-    r = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("range_id"), F.col("o_orderkey").alias("file_id"), (20 + F.col("o_custkey") % 30).alias("lo"), (22 + F.col("o_custkey") % 30).alias("hi"))
+    r = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("range_id"), F.col("o_orderkey").alias("file_id"), (20 + F.col("o_custkey") % 30).alias("lo"), (22 + F.col("o_custkey") % 30).alias("hi"))
     return intervals.overlapping(r, _spans(spark, sf_dir))
 
 
@@ -123,7 +123,7 @@ e AS (SELECT l_orderkey * 10 + l_linenumber AS source, l_orderkey * 10 + l_linen
 def diff_impact(spark, sf_dir):
     """Changed line ranges meet symbols; what they call next to them is affected; isolated ones go and the first 10 stay."""
     s = _spans(spark, sf_dir)
-    r = table(spark, sf_dir, "orders").where("o_orderkey % 25 = 0").select(F.col("o_orderkey").alias("range_id"), F.col("o_orderkey").alias("file_id"), (20 + F.col("o_custkey") % 30).alias("lo"), (22 + F.col("o_custkey") % 30).alias("hi"))
+    r = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("range_id"), F.col("o_orderkey").alias("file_id"), (20 + F.col("o_custkey") % 30).alias("lo"), (22 + F.col("o_custkey") % 30).alias("hi"))
     touched = intervals.overlapping(r, s).select(F.col("span_id").alias("node")).distinct()
     e = s.select(F.col("span_id").alias("source"), (F.col("span_id") + 1).alias("target"), F.lit("calls").alias("kind")).join(s.select(F.col("span_id").alias("target")), "target", "left_semi")
     n = traverse.simple_paths(e, touched, 1).groupBy(F.col("seed").alias("span_id")).agg(F.count(F.lit(1)).alias("affected"))

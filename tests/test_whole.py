@@ -43,3 +43,8 @@ def test_every_order_is_a_reference(spark, con):
     names = con.execute("SELECT count(DISTINCT p_name) FROM part").fetchall()[0][0]
     assert refs.select("name").distinct().count() == names
     same(spark, con, "scored_resolution", ("WHERE o_orderkey % 5 = 0", ""), ("1 + o_custkey % 150", "o_orderkey % (SELECT count(*) FROM part)"))
+
+
+@pytest.mark.parametrize("name", ["overlap_join", "diff_impact"])
+def test_ranges_of_all_orders(spark, con, name):
+    same(spark, con, name, (" WHERE o_orderkey % 5 = 0", ""), (" WHERE o_orderkey % 25 = 0", ""))

@@ -48,3 +48,7 @@ def test_every_order_is_a_reference(spark, con):
 @pytest.mark.parametrize("name", ["overlap_join", "diff_impact"])
 def test_ranges_of_all_orders(spark, con, name):
     same(spark, con, name, (" WHERE o_orderkey % 5 = 0", ""), (" WHERE o_orderkey % 25 = 0", ""))
+
+
+def test_all_customers_are_candidates(spark, con):
+    same(spark, con, "unique_match", (" WHERE c_custkey % 20 = 0", ""))

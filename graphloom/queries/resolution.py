@@ -231,7 +231,7 @@ _OV = 'SELECT l_suppkey AS query_id, l_orderkey * 10 + l_linenumber AS item, l_o
 
 @add(f"""WITH h AS ({_OV}) SELECT query_id, item, place FROM h a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE a.query_id = b.query_id AND a.file = b.file AND b.place < a.place AND a.place - b.place <= 5 AND least(a."end", b."end") - greatest(a."start", b."start") >= 0.8 * least(a."end" - a."start", b."end" - b."start"))""")
 def overlap_suppress(spark, sf_dir):
-    x, start = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0"), (F.col("l_linenumber") * 10).cast("long")
+    x, start = table(spark, sf_dir, "lineitem"), (F.col("l_linenumber") * 10).cast("long")
     w = Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
     h = x.select(F.col("l_suppkey").alias("query_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item"), (F.col("l_orderkey") % 40).alias("file"), start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("end"), F.row_number().over(w).cast("long").alias("place"))
     return retrieval.overlap_suppressed(h).select("query_id", "item", "place")
@@ -256,6 +256,6 @@ def graph_expansion(spark, sf_dir):
 
 @add(f"""WITH s AS ({_SPANS}) SELECT l_orderkey AS file_id, l_linenumber * 11 AS line FROM lineitem x WHERE l_orderkey % 2 = 0 AND EXISTS (SELECT 1 FROM s WHERE s.file_id = x.l_orderkey AND s."end" - s."start" > 20 AND x.l_linenumber * 11 BETWEEN s."start" AND s."end")""")
 def eligible_lines(spark, sf_dir):
-    hits = table(spark, sf_dir, "lineitem").where("l_orderkey % 2 = 0").select(F.col("l_orderkey").alias("file_id"), (F.col("l_linenumber") * 11).alias("line"))
+    hits = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_id"), (F.col("l_linenumber") * 11).alias("line"))
     s = _spans(spark, sf_dir).where("end - start > 20").select("file_id", F.col("start").alias("start_line"), F.col("end").alias("end_line"))
     return search.line_eligible(hits, s)

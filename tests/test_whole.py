@@ -52,3 +52,9 @@ def test_ranges_of_all_orders(spark, con, name):
 
 def test_all_customers_are_candidates(spark, con):
     same(spark, con, "unique_match", (" WHERE c_custkey % 20 = 0", ""))
+
+
+def test_all_lines_are_hits(spark, con):
+    # Some lines of an order share their number, so items repeat.
+    same(spark, con, "overlap_suppress", (" WHERE l_orderkey % 3 = 0", ""))
+    same(spark, con, "eligible_lines", ("l_orderkey % 2 = 0 AND ", ""))

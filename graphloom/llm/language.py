@@ -10,8 +10,10 @@ For each language, the log posterior of a text adds up:
   these to those of the suffix, and these to the shares over all rows. The counts come from one grouped aggregation of
   what text and declaration say.
 
-Trigram models are fitted on at most `most_rows` rows with a declared language, taken by the hash of their id, and fitted
-again without rows whose text speaks against their declaration.
+Trigram models are fitted on rows of each declared language, however rare: about `most_rows` in all, of which every language
+has its share (LEAST_ROWS, or all that it has), taken by the hash of their id; and fitted again without rows whose text
+speaks against their declaration. Evenly drawn trigrams are the model of all other languages: a text that fits no model
+better than that is rejected, and no evidence is counted from it.
 
 Defined cases: a null or empty text, or one without letters, has no language and is rejected, as is a text whose best
 language has a posterior under MIN_POSTERIOR; a null declaration, suffix or host is no evidence; without declared
@@ -36,7 +38,11 @@ from graphloom.llm.words import raw_lower, table_sums, text_chunks, trigrams
 BITS, MOST_ROWS = 14, 8_000
 #: Weight of a trigram's log likelihood, and of a parent's shares in a host's prior (as a number of rows).
 TEMPER, PARENT_ROWS = 0.15, 20.0
-MIN_POSTERIOR, MIN_SHARE = 0.5, 0.005
+MIN_POSTERIOR = 0.5
+#: Rows that a language needs for a model, and rows that it is fitted on at least if it has them.
+MIN_ROWS, LEAST_ROWS = 2, 400
+#: Log likelihood of a trigram, and log prior, of a text in none of the languages.
+OTHER_TRIGRAM, OTHER_PRIOR = -BITS * float(np.log(2.0)), float(np.log(0.01))
 #: Up to so many hosts, their priors are broadcast (about 100 bytes each); beyond, they are joined by shuffling.
 MOST_BROADCAST = 50_000
 #: Distinct declarations, or suffixes, that are weighed; the rarer ones count as one.
@@ -70,29 +76,39 @@ def _counted(languages: list[str], keep: Trigrams | None):
 
 
 def fit_trigrams(docs: DataFrame, most_rows: int = MOST_ROWS, doc_id: str = "doc_id", text: str = "text", declared: str = "lang") -> Trigrams:
-    """Models of the languages that at least MIN_SHARE of the sampled rows declare."""
-    some = docs.select(F.col(doc_id).alias("id"), F.lower(F.col(declared)).alias("declared")).where("declared IS NOT NULL AND id IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(most_rows)
-    some = materialize(some, "language-sample")
-    shares = some.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(MOST_KINDS).collect()
-    n = sum(r["count"] for r in shares)
-    languages = sorted(r["declared"] for r in shares if r["count"] >= max(2, MIN_SHARE * n))
+    """Models of the languages that MIN_ROWS rows declare and speak for."""
+    told = docs.select(F.col(doc_id).alias("id"), F.lower(F.col(declared)).alias("declared")).where("declared IS NOT NULL AND id IS NOT NULL")
+    counts = {r["declared"]: r["count"] for r in told.groupBy("declared").count().where(F.col("count") >= MIN_ROWS).orderBy(F.desc("count"), "declared").limit(MOST_KINDS).collect()}
+    languages = sorted(counts)
     if not languages:
         return Trigrams()
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(some.where(F.col("declared").isin(languages)).groupBy("id").agg(F.min("declared").alias("declared"))), "id").select("text", "declared")
+    # What rare languages leave of their share goes to the others.
+    share, left = {}, most_rows
+    for i, k in enumerate(sorted(languages, key=lambda k: (counts[k], k))):
+        quota = max(LEAST_ROWS, left // (len(languages) - i))
+        share[k] = quota / counts[k]
+        left = max(0, left - min(quota, counts[k]))
+    part = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(share[k]))])
+    some = told.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < F.try_element_at(part, F.col("declared")) * float(1 << 40))
+    some = materialize(some, "language-sample")
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(some.groupBy("id").agg(F.min("declared").alias("declared"))), "id").select("text", "declared")
     model = None
     for _ in range(2):
         # One row for each task and language, of fixed width.
         table = rows.mapInArrow(_counted(languages, model), "k long, rows long, counts array<long>").toPandas()
-        counts = np.zeros((len(languages), 1 << BITS))
-        for k, c in zip(table["k"], table["counts"], strict=True):
+        counts, agree = np.zeros((len(languages), 1 << BITS)), np.zeros(len(languages), np.int64)
+        for k, n, c in zip(table["k"], table["rows"], table["counts"], strict=True):
             counts[k] += np.asarray(c)
+            agree[k] += n
         counts += 0.5
         model = Trigrams(languages, np.log(counts / counts.sum(axis=1, keepdims=True)).T.copy())
-    return model
+    # A declaration that its own texts speak against is no language.
+    real = np.flatnonzero(agree >= MIN_ROWS)
+    return Trigrams([languages[k] for k in real], model.logs[:, real].copy())
 
 
 def with_text_evidence(rows: DataFrame, model: Trigrams, text: Column) -> DataFrame:
-    """rows with __said, an array of tempered log likelihoods (null for a text without letters)."""
+    """rows with __said, an array of tempered log likelihoods (null for a text without letters), and __other, that of no language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches, "__text"):
@@ -100,10 +116,11 @@ def with_text_evidence(rows: DataFrame, model: Trigrams, text: Column) -> DataFr
             grams, n = trigrams(raw_lower(texts), BITS)
             logs = TEMPER * table_sums(model.logs, grams, n)
             said = [x.tolist() if t and any(map(str.isalpha, t)) else None for t, x in zip(texts, logs, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(said, pa.list_(pa.float64()))], [*names, "__said"])
+            other = TEMPER * OTHER_TRIGRAM * np.asarray(n, np.float64) + OTHER_PRIOR
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(said, pa.list_(pa.float64())), pa.array(other)], [*names, "__said", "__other"])
 
     names = rows.columns
-    schema = T.StructType([*rows.schema.fields, T.StructField("__said", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*rows.schema.fields, T.StructField("__said", T.ArrayType(T.DoubleType())), T.StructField("__other", T.DoubleType())])
     return rows.withColumn("__text", text).mapInArrow(run, schema)
 
 
@@ -129,7 +146,7 @@ def identified(rows: DataFrame, model: Trigrams, text: str = "text", declared: C
 
     def counts_of(*keys: str) -> DataFrame:
         # The evidence is counted from a narrow pass that drops the texts right after reading them.
-        said = F.col("__said").isNotNull()
+        said = F.col("__said").isNotNull() & (F.array_max("__said") >= F.col("__other"))
         return told.where(said).groupBy(*keys, _best(F.col("__said"), languages).alias("language")).agg(F.count(F.lit(1)).alias("n"))
 
     levels = ["__host", "__domain", "__last", "__declared", "__suffix"]
@@ -182,7 +199,9 @@ def identified(rows: DataFrame, model: Trigrams, text: str = "text", declared: C
     whole = F.transform(parts, lambda x: x["a"] + x["b"] + x["c"] + x["d"])
     judged = told.join(host_prior, "__host", "left").withColumn("__logs", whole)
     top = F.array_max("__logs")
-    judged = judged.withColumn("__posterior", F.coalesce(1.0 / F.aggregate("__logs", F.lit(0.0), lambda s, x: s + F.exp(x - top)), F.lit(0.0)))
+    # No language has the same other evidence as the best one: the text alone decides between them.
+    other = F.exp(F.col("__other") - F.element_at("__said", F.array_position("__logs", top).cast("int")))
+    judged = judged.withColumn("__posterior", F.coalesce(1.0 / (other + F.aggregate("__logs", F.lit(0.0), lambda s, x: s + F.exp(x - top))), F.lit(0.0)))
     judged = judged.withColumn("__kept", F.col("__posterior") >= MIN_POSTERIOR)
     return judged.select(*rows.columns, F.when(F.col("__kept"), _best(F.col("__logs"), languages)).alias("__language"), "__posterior", "__kept")
 

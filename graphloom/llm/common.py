@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import string
 import sys
 import tempfile
@@ -19,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where the cluster names none (tests) is one made on this machine."""
+    """The folder that all executors share. Only where all of Spark is one process (tests) is one made on this machine."""
     conf = spark.sparkContext.getConf()
     found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='graphloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -36,13 +40,45 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes materialized tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if path.startswith(("file:" + shared_dir(spark).removeprefix("file://"), shared_dir(spark))):
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 4000, size: str = "4m"):
+    """Inside, Python gets Arrow batches of so many rows and bytes at most."""
+    want = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k in want}
+    try:
+        for k, v in want.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 #: Lists of up to so many rows of ids and digests are broadcast (under 100 MB); longer ones are joined by shuffling.
 MOST_LISTED = 500_000
 
 
-def short(table: DataFrame) -> DataFrame:
+def short(table: DataFrame, most: int = MOST_LISTED) -> DataFrame:
     """table, to be broadcast if a count of its rows proves it short."""
-    return F.broadcast(table) if table.count() <= MOST_LISTED else table
+    return F.broadcast(table) if table.count() <= most else table
+
+
+def free(name: str, *frames: DataFrame) -> str:
+    """name, made longer until no column of the frames has it in any case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def ascii_lower(text: Column) -> Column:

@@ -25,11 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.toxicity import chosen_rows
-from graphloom.llm.words import MARKS, SPACES, mixed, raw_words, text_chunks, trigrams, word_hashes
+from graphloom.llm.words import MARKS, SPACES, mixed, raw_words, table_sums, text_chunks, trigrams, word_hashes
 
 DIMS, BITS, WINDOW = 64, 12, 2
-#: Frequent words that get vectors from their neighbours, counters of the summary that finds them, and neighbour buckets.
-MOST_WORDS, COUNTERS, NEIGHBOURS = 1024, 20_000, 1024
+#: Frequent words that get vectors from their neighbours (they are sent to all tasks), and counters of the summary that finds them.
+MOST_WORDS, COUNTERS = 16_384, 65_536
+#: Words whose neighbours are summed at once.
+BLOCK = 1 << 15
 MOST_ROWS, HIDDEN, FOLDS, HELD_OUT = 12_000, 32, 3, 1
 
 
@@ -40,7 +42,6 @@ def signs(h: np.ndarray) -> np.ndarray:
 
 GRAM_SIGNS = signs(mixed(np.arange(1 << BITS, dtype=np.uint64) + np.uint64(11)))
 BYTE_SIGNS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1
-NEIGHBOUR_SIGNS = signs(mixed(np.arange(NEIGHBOURS, dtype=np.uint64) + np.uint64(1 << 40)))
 
 
 @dataclass
@@ -92,22 +93,37 @@ def _frequent(batches):
     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["word", "n"])
 
 
+def around(h: np.ndarray, doc: np.ndarray, low: int, high: int) -> np.ndarray:
+    """For each word of low..high the sum of the index vectors of its neighbours in the same text."""
+    first, last = max(0, low - WINDOW), min(len(h), high + WINDOW)
+    own = np.unpackbits(np.ascontiguousarray(h[first:last]).view(np.uint8).reshape(-1, 8), axis=1).view(np.int8) * np.int8(2) - np.int8(1)
+    of, out = doc[first:last], np.zeros((last - first, DIMS), np.int8)
+    for step in range(1, WINDOW + 1):
+        same = (of[step:] == of[:-step])[:, None].view(np.int8)
+        out[step:] += own[:-step] * same
+        out[:-step] += own[step:] * same
+    return out[low - first : high - first]
+
+
 def _neighbours(words: np.ndarray):
     def run(batches):
-        total = np.zeros(len(words) * NEIGHBOURS, np.int64)
+        total, seen = np.zeros((len(words), DIMS), np.int64), np.zeros(len(words), bool)
         for _, raw in _parts(batches):
             h, n = word_hashes(raw, MARKS)
             at = np.searchsorted(words, h)
             at[at == len(words)] = 0
-            known, bucket = words[at] == h, (h >> np.uint64(54)).astype(np.int64) % NEIGHBOURS
             doc = np.repeat(np.arange(len(n)), n)
-            for step in range(1, WINDOW + 1):
-                same = doc[step:] == doc[:-step] if len(doc) > step else np.zeros(0, bool)
-                for one, other in ((slice(step, None), slice(None, -step)), (slice(None, -step), slice(step, None))):
-                    use = same & known[one]
-                    total += np.bincount(at[one][use] * NEIGHBOURS + bucket[other][use], minlength=len(total))
-        vectors = total.reshape(len(words), NEIGHBOURS) @ NEIGHBOUR_SIGNS.astype(np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(words)), pa.int64()), pa.array(vectors.tolist(), pa.list_(pa.float64()))], ["k", "v"])
+            for low in range(0, len(h), BLOCK):
+                high = min(len(h), low + BLOCK)
+                known = np.flatnonzero(words[at[low:high]] == h[low:high])
+                known = known[np.argsort(at[low:high][known], kind="stable")]
+                if len(known):
+                    which = at[low:high][known]
+                    first = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+                    total[which[first]] += np.add.reduceat(around(h, doc, low, high)[known], first, axis=0, dtype=np.int32)
+                    seen[which[first]] = True
+        rows = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.ListArray.from_arrays(np.arange(0, DIMS * len(rows) + 1, DIMS, dtype=np.int32), pa.array(total[rows].ravel()))], ["k", "v"])
 
     return run
 
@@ -118,10 +134,10 @@ def fit_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     words = np.sort(top["word"].to_numpy(np.int64).view(np.uint64))
     if not len(words):
         return words, np.empty((0, DIMS), np.float32)
-    # Rows of one fixed-width vector for each task and frequent word; their sums are a table of MOST_WORDS rows.
-    rows = docs.select("text").mapInArrow(_neighbours(words), "k long, v array<double>")
-    sums = rows.groupBy("k").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(DIMS)]).toPandas().set_index("k").sort_index()
-    v = sums.to_numpy()
+    # A row of fixed width for each frequent word that a task has; their sums are a table of MOST_WORDS rows.
+    rows = docs.select("text").mapInArrow(_neighbours(words), "k long, v array<long>")
+    sums = rows.groupBy("k").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(DIMS)]).toPandas().set_index("k")
+    v = sums.reindex(range(len(words)), fill_value=0).to_numpy(float)
     return words, (v / np.maximum(1e-9, np.linalg.norm(v, axis=1, keepdims=True))).astype(np.float32)
 
 
@@ -131,18 +147,18 @@ def counted(owner: np.ndarray, kind: np.ndarray, rows: int, kinds: int) -> np.nd
 
 
 def features(raw: list[bytes], words: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Means of vectors come from counts: a sum of table rows is the counts times the table."""
+    """Means of the three kinds of vectors, and lengths. A sum of rows of a small table is their counts times the table."""
     h, n = word_hashes(raw, MARKS)
     at = np.searchsorted(words, h)
     at[at == len(words)] = 0
     known = words[at] == h if len(words) else np.zeros(len(h), bool)
     doc = np.repeat(np.arange(len(n)), n)
     n_known = np.bincount(doc[known], minlength=len(n))
-    context = counted(doc[known], at[known], len(n), len(words)) @ vectors if len(words) else np.zeros((len(n), DIMS))
+    context = table_sums(vectors, at[known], n_known) if len(words) else np.zeros((len(n), DIMS))
     # The index vector of a word, its hash's bits, is made of eight bytes.
     own = np.concatenate([counted(doc, part, len(n), 256) @ BYTE_SIGNS for part in np.ascontiguousarray(h).view(np.uint8).reshape(len(h), 8).T.astype(np.int64)], axis=1)
-    grams, g = trigrams(raw, BITS, SPACES)
-    spelled = counted(np.repeat(np.arange(len(g)), g), grams, len(g), 1 << BITS) @ GRAM_SIGNS
+    g = np.array([len(r) for r in raw])
+    spelled = sum((counted(owner, grams, len(g), 1 << BITS) for owner, grams in trigrams(raw, BITS, SPACES)), np.zeros((len(g), 1 << BITS), np.float32)) @ GRAM_SIGNS
     per = lambda total, count: total / np.maximum(1, count)[:, None]
     own, context, spelled = per(own, n), per(context, n_known), per(spelled, g)
     size = np.stack([np.log1p(n), np.log1p(g), np.log1p(g) - np.log1p(n), n_known / np.maximum(1, n)], axis=1)

@@ -23,7 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from graphloom.llm.common import free, materialize
 from graphloom.llm.words import MARKS, ODD, mixed, raw_lower, text_chunks, word_arrays
 
 PREFIXES = (4, 5, 6, 7)
@@ -80,11 +82,14 @@ def _presence(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(at, is_toxic, len(keys)).astype(np.int64)), pa.array(np.bincount(at, ~is_toxic, len(keys)).astype(np.int64))], ["feature", "toxic", "clean"])
 
 
-def chosen_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, doc_id: str = "doc_id") -> DataFrame:
-    """text and label of at most `most` labelled rows, by the hash of the id. The list of ids is broadcast."""
-    some = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).alias("__label"))
-    some = some.orderBy(F.xxhash64(doc_id), doc_id).limit(most)
-    return docs.select(F.col(doc_id), F.col("text")).join(F.broadcast(some), doc_id).select(doc_id, "text", F.col("__label").alias(label))
+def chosen_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """doc_id, text and label of at most `most` labelled ids, by the hash of the id, whose list is broadcast. Where documents
+    repeat these ids, about `most` of their rows."""
+    some = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias(label))
+    some = materialize(some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "labels")
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", label)
+    n = rows.count()
+    return rows if n <= most else rows.where(F.rand(11) < most / n)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Ordinal:
@@ -153,20 +158,21 @@ def fit_ordinal(x: np.ndarray, grades: np.ndarray, top: int, shares: np.ndarray
     return params[:f], params[f] + np.concatenate([[0.0], np.cumsum(np.exp(params[f + 1 :]))])
 
 
-def scored(docs: DataFrame, model: Ordinal, text: str = "text") -> DataFrame:
-    """docs with __severity (expected grade) and __toxic."""
+def scored(docs: DataFrame, model: Ordinal, text: str = "text", severity: str = "__severity", toxic: str = "__toxic") -> DataFrame:
+    """docs with two more columns, severity (expected grade) and toxic."""
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    read = f"c{docs.columns.index(text)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_chunks(batches, text):
-            scores = np.array([model.weights[at] @ np.log1p(n) for at, n in feature_counts(part.column(text).to_pylist(), model.features)])
+        for part in text_chunks(batches, read):
+            scores = np.array([model.weights[at] @ np.log1p(n) for at, n in feature_counts(part.column(read).to_pylist(), model.features)])
             p = model.exceed(scores)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p.sum(axis=1)), pa.array(p[:, 0] > TOXIC_AT)], [*part.schema.names, "__severity", "__toxic"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p.sum(axis=1)), pa.array(p[:, 0] > TOXIC_AT)], [*part.schema.names, "severity", "toxic"])
 
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("__severity", T.DoubleType()), T.StructField("__toxic", T.BooleanType())])
-    return docs.mapInArrow(run, schema)
+    schema = T.StructType([*plain.schema.fields, T.StructField("severity", T.DoubleType()), T.StructField("toxic", T.BooleanType())])
+    return plain.mapInArrow(run, schema).toDF(*docs.columns, severity, toxic)
 
 
 def keep_clean(docs: DataFrame, model: Ordinal) -> DataFrame:
-    return scored(docs, model).where(~F.col("__toxic")).select(*docs.columns)
+    severity, toxic = free("severity", docs), free("toxic", docs)
+    return scored(docs, model, severity=severity, toxic=toxic).where(~F.col(toxic)).select(*docs.columns)

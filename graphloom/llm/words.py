@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
-#: An odd number, whose powers modulo 2^64 have inverses.
+#: An odd number: multiplying by it is one to one modulo 2^64.
 ODD = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bytes hashed at once, so that a text of any length takes bounded memory.
 SEGMENT = 1 << 20
-#: A random word for each byte value.
-_BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, np.uint64)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Longer words are hashed by xxh3.
+LONGEST = 64
+#: A random number for each size of a word, and masks of the first 0 to 8 bytes.
+_SEEDS = np.random.default_rng(5).integers(1, 1 << 63, LONGEST + 2, np.uint64)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def separators(*, spaces_only: bool) -> np.ndarray:
@@ -41,25 +44,29 @@ def raw_lower(texts: list[str | None]) -> list[bytes]:
     return [t.lower().encode("utf-8", "surrogatepass") if t else b"" for t in texts]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(n - 1, SEGMENT).bit_length()
-    if size not in _POWERS:
-        inverse = np.uint64(pow(int(ODD), -1, 1 << 64))
-        one = np.ones(1, np.uint64)
-        _POWERS[size] = tuple(np.cumprod(np.concatenate([one, np.full(size - 1, x)])) for x in (ODD, inverse))
-    return _POWERS[size]
+def _hashed(data: bytes, first: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of the words at starts, mixed eight bytes after eight bytes; first: the first eight of each. A mix is one to one,
+    so no pattern inside words cancels out. Words of more than LONGEST bytes are rare and hashed one by one."""
+    h = mixed(_SEEDS[np.minimum(sizes, LONGEST + 1)] ^ (first & _MASKS[np.minimum(sizes, 8)]))
+    lanes = np.ndarray(len(data) - 7, "<u8", data, 0, (1,))
+    more, k = np.flatnonzero((sizes > 8) & (sizes <= LONGEST)), 8
+    while len(more):
+        h[more] = mixed(h[more] * ODD ^ (lanes[starts[more] + k] & _MASKS[np.minimum(sizes[more] - k, 8)]))
+        k += 8
+        more = more[sizes[more] > k]
+    for i in np.flatnonzero(sizes > LONGEST).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + sizes[i]])
+    return h
 
 
 def _segment(data: bytes, apart: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Starts and hashes of the words of data, which neither begins nor ends inside a word."""
-    raw = np.frombuffer(data, np.uint8)
-    power, inverse = _powers(len(raw))
-    edge = np.diff(np.concatenate([[True], apart[raw], [True]]).view(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTES[raw] * power[: len(raw)], out=sums[1:])
-    first, back = sums[starts], inverse[starts]
-    return starts, [mixed((sums[ends if not n else np.minimum(ends, starts + n)] - first) * back) for n in (0, *prefixes)]
+    edge = np.diff(np.concatenate([[True], apart[np.frombuffer(data, np.uint8)], [True]]).view(np.int8))
+    starts = np.flatnonzero(edge == -1)
+    sizes = np.flatnonzero(edge == 1) - starts
+    data += bytes(8)
+    first = np.ndarray(len(data) - 7, "<u8", data, 0, (1,))[starts]
+    return starts, [_hashed(data, first, starts, np.minimum(sizes, n) if n else sizes) for n in (0, *prefixes)]
 
 
 def word_arrays(raw: list[bytes], apart: np.ndarray = SPACES, prefixes: tuple[int, ...] = ()) -> tuple[list[np.ndarray], np.ndarray]:
@@ -85,22 +92,25 @@ def word_hashes(raw: list[bytes], apart: np.ndarray = SPACES) -> tuple[np.ndarra
     return flat, counts
 
 
-def trigrams(raw: list[bytes], bits: int, apart: np.ndarray = MARKS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed byte trigrams of all texts, each text between spaces and all separators made spaces; and how many each text has."""
-    data = np.frombuffer(b" " + b"  ".join(raw) + b" ", np.uint8)
-    data = np.where(apart[data], np.uint8(32), data).astype(np.uint32)
-    h = (data[:-2] * np.uint32(0x9E3779B1)) ^ (data[1:-1] * np.uint32(0x85EBCA77)) ^ (data[2:] * np.uint32(0xC2B2AE3D))
-    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-    h = (h >> np.uint32(32 - bits)).astype(np.int64)
-    # Trigrams that span two texts go.
-    sizes = np.array([len(r) for r in raw])
+def trigrams(raw: list[bytes], bits: int, apart: np.ndarray = MARKS):
+    """Hashed byte trigrams of all texts, each text between spaces and all separators made spaces: (texts' positions, hashes)
+    of at most SEGMENT bytes at a time. A text of n bytes has n trigrams."""
+    sizes = np.array([len(r) for r in raw], np.int64)
     begins = np.cumsum(np.append(0, sizes[:-1] + 2)) if len(sizes) else np.empty(0, np.int64)
-    keep = np.zeros(len(h), bool)
-    mark = np.zeros(len(h) + 1, np.int64)
-    np.add.at(mark, begins, 1)
-    np.add.at(mark, np.minimum(begins + sizes, len(h)), -1)
-    keep = np.cumsum(mark[:-1]) > 0
-    return h[keep], sizes
+    whole = np.frombuffer(b" " + b"  ".join(raw) + b" ", np.uint8)
+    for at in range(0, len(whole) - 2, SEGMENT):
+        data = whole[at : at + SEGMENT + 2]
+        data = np.where(apart[data], np.uint8(32), data).astype(np.uint32)
+        h = (data[:-2] * np.uint32(0x9E3779B1)) ^ (data[1:-1] * np.uint32(0x85EBCA77)) ^ (data[2:] * np.uint32(0xC2B2AE3D))
+        h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        h = (h >> np.uint32(32 - bits)).astype(np.int64)
+        # Trigrams that span two texts go.
+        low, high = np.searchsorted(begins + sizes, at, side="right"), np.searchsorted(begins, at + len(h))
+        rows = np.arange(low, high)
+        a = np.clip(begins[rows] - at, 0, len(h))
+        n = np.clip(begins[rows] + sizes[rows] - at, 0, len(h)) - a
+        owner = np.repeat(rows, n)
+        yield owner, h[np.arange(len(owner)) - np.repeat(np.cumsum(n) - n - a, n)]
 
 
 def run_sums(rows_of, n: int, counts: np.ndarray, width: int, block: int = 1 << 16) -> np.ndarray:

@@ -2,13 +2,16 @@
 
 Each document becomes token ids and an end id, and is cut into full windows and a rest. A rest goes to the fill level
 where it leaves the smallest sum of squared counts of partially filled windows; an array holds that count for each
-level, and a new window is one of the choices. Open windows and their rests are held until they are full. When more than
-MOST_OPEN are open, and at the end of the input partition, the rests in them are laid end to end and cut into full
-windows; what remains at the end is cut into windows of powers of two, which take no padding. So memory is bounded, each
-id lies in exactly one piece, and no window needs padding.
+level, and a new window is one of the choices. Open windows and their rests are held until they are full.
 
-Windows are filled within one input partition and numbered by it, so no row is shuffled and a rerun of a lost partition
-gives the same rows.
+Rests are placed twice. The first placement runs inside each input partition, where texts become ids. What its open windows
+hold at the end, or when there are more than MOST_OPEN, goes on as unplaced rests to the second one, which takes them by the
+same rule in parts of about MANY_RESTS. Only what is then still open is laid end to end and cut into full windows, and the
+remainder of each part into windows of powers of two, which take no padding. So memory is bounded, each id lies in exactly
+one piece, and no window needs padding.
+
+Windows are numbered by the partition that fills them. The first placement is written to the shared folder, and rests are
+ordered in each part of the second, so a rerun of a lost partition gives the same rows.
 
 Defined cases: a null text counts as empty and gives the end id alone; repeated rows are packed as often as they occur;
 a null doc_id stays null; other columns play no part; an empty table gives an empty result.
@@ -27,10 +30,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import materialize, small_batches, worker_cache
+from graphloom.llm.words import text_chunks
+
 WINDOW, END_ID = 2048, 1
-#: Open windows that a partition holds at most.
-MOST_OPEN = 2048
+#: Open windows that a partition of the first placement holds at most, and rests in a part of the second.
+MOST_OPEN, MANY_RESTS = 2048, 16_384
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+#: Pieces, or with rest (their ids) what is not yet placed; sequence_id is then a number of the rest.
+PLACED = f"{SCHEMA}, rest binary"
 
 
 class ByteBpe:
@@ -60,13 +69,14 @@ class ByteBpe:
 
 
 class Windows:
-    """Sum-of-squares packing of pieces (doc_id, start, ids, doc_tokens); rows() takes what has been placed."""
+    """Sum-of-squares packing of pieces (doc_id, start, ids, doc_tokens); out: what has been placed."""
 
-    def __init__(self, window: int = WINDOW, first: int = 0, most_open: int = MOST_OPEN):
-        self.window, self.next, self.most = window, first, most_open
+    def __init__(self, window: int = WINDOW, first: int = 0):
+        self.window, self.next = window, first
         self.counts = np.zeros(window + 1, np.int64)
         self.open: dict[int, list[list[tuple]]] = {}
         self.n_open, self.out = 0, []
+        self.by_rule = self.cut = 0
 
     def _emit(self, pieces: list[tuple]) -> None:
         at = 0
@@ -80,9 +90,9 @@ class Windows:
         for at in range(0, full, self.window):
             self._emit([(doc, at, ids[at : at + self.window], len(ids))])
         if full < len(ids):
-            self._place((doc, full, ids[full:].copy(), len(ids)))
+            self.place((doc, full, ids[full:].copy(), len(ids)))
 
-    def _place(self, piece: tuple) -> None:
+    def place(self, piece: tuple) -> None:
         size, counts = len(piece[2]), self.counts
         levels = np.flatnonzero(counts[: self.window - size + 1])
         # Growth of the sum of squares: opening a window, or moving one from its level to a higher or full one.
@@ -96,27 +106,31 @@ class Windows:
         held = self._take(level) if level else []
         held.append(piece)
         if level + size == self.window:
+            self.by_rule += 1
             self._emit(held)
             return
         self.open.setdefault(level + size, []).append(held)
         counts[level + size] += 1
         self.n_open += 1
-        if self.n_open > self.most:
-            self.close(last=False)
 
     def _take(self, level: int) -> list[tuple]:
         self.counts[level] -= 1
         self.n_open -= 1
         return self.open[level].pop()
 
-    def close(self, last: bool = True) -> None:
-        """Empties the open windows: full windows, and the remainder as powers of two, or (not last) as one open window."""
+    def unplaced(self) -> list[tuple]:
+        """Empties the open windows: their pieces."""
         pieces = [p for level in sorted(self.open) for held in self.open[level] for p in held]
         self.open, self.n_open = {}, 0
         self.counts[:] = 0
+        return pieces
+
+    def close(self) -> None:
+        """Cuts what is open into full windows, and the remainder into powers of two."""
+        pieces = self.unplaced()
         left = sum(len(p[2]) for p in pieces)
         while left:
-            room = self.window if left >= self.window else (1 << (left.bit_length() - 1) if last else left)
+            room = self.window if left >= self.window else 1 << (left.bit_length() - 1)
             taken, need = [], room
             while need:
                 doc, start, ids, total = pieces.pop()
@@ -125,31 +139,46 @@ class Windows:
                 taken.append((doc, start, ids[:need], total))
                 need -= len(taken[-1][2])
             left -= room
-            if room < self.window and not last:
-                self.open, self.n_open = {room: [taken]}, 1
-                self.counts[room] = 1
-            else:
-                self._emit(taken)
+            self.cut += 1
+            self._emit(taken)
 
-    def rows(self) -> pa.RecordBatch:
-        out, self.out = self.out, []
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [()] * 7)], [x.split()[0] for x in SCHEMA.split(", ")])
+    def rows(self, rests: list[tuple] = ()) -> pa.RecordBatch:
+        """What has been placed since the last call, and rests that have not."""
+        out = [(*x, None) for x in self.out]
+        for doc, start, ids, total in rests:
+            out.append((doc, start, len(ids), None, total, self.next, None, ids.astype("<u4").tobytes()))
+            self.next += 1
+        self.out = []
+        columns = list(zip(*out, strict=True)) or [()] * 8
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:7]), pa.array(columns[7], pa.binary())], [*COLUMNS, "rest"])
 
 
 def packed(docs: DataFrame, window: int = WINDOW, tokenizer=ByteBpe) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    most_open, many = MOST_OPEN, MANY_RESTS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer()
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = worker_cache(f"tokenizer {tokenizer.__name__}", tokenizer)
         windows = Windows(window, TaskContext.get().partitionId() << 40)
         end = np.array([END_ID], np.uint32)
+        for part in text_chunks(batches):
+            for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                windows.add(doc, np.concatenate([encode(text), end]) if text else end)
+            yield windows.rows(windows.unplaced() if windows.n_open > most_open else [])
+        yield windows.rows(windows.unplaced())
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(window, 1 << 62 | TaskContext.get().partitionId() << 40)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    windows.add(doc, np.concatenate([encode(text), end]) if text else end)
-                yield windows.rows()
+            for doc, start, total, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "rest")), strict=True):
+                windows.place((doc, start, np.frombuffer(ids, "<u4"), total))
+            yield windows.rows()
         windows.close()
         yield windows.rows()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    with small_batches(docs.sparkSession):
+        once = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(first, PLACED), "packed")
+    rests = once.where("rest IS NOT NULL")
+    dealt = rests.repartition(1 + rests.count() // many, "sequence_id").sortWithinPartitions("sequence_id")
+    twice = dealt.select("doc_id", "start", "doc_tokens", "rest").mapInArrow(second, PLACED)
+    return once.where("rest IS NULL").select(*COLUMNS).unionByName(twice.select(*COLUMNS))

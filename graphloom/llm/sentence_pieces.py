@@ -3,11 +3,13 @@
 The automaton reports, at each position, all pieces that end there (longest first, along its output links). One pass over
 them fills a Viterbi table. What a step may relax depends on the model's kind:
 
-- unigram: each piece adds its score; the best sum at each position stays;
-- BPE: scores rank merges and do not add up, so sums would give other ids than the model. A piece may follow another only
+- best sum: each piece adds its score, and the best sum at each position stays. These are a unigram model's ids;
+- BPE: scores rank merges and do not add up, so the best sum gives other ids than the model. A piece may follow another only
   if merging the two texts by rank gives just these two (remembered for each pair); of the pieces that end at a position
   one fits the best path to its start, and that path is the model's own encoding.
 
+Both paths are taken of every text: ids are the model's own, best_ids those of the best sum (the same in a unigram model).
+
 Characters that no piece holds are cut points: they become byte pieces, or the unknown id. No piece holds a space mark after
 another character, so texts are cut before space marks too, and the encodings of short cuts are remembered.
 
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import worker_cache
+from graphloom.llm.words import text_chunks
 
 SPACE = "▁"
 #: Encodings and pairs remembered by a task, and the longest text remembered.
@@ -75,7 +78,7 @@ class Pieces:
         apart = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         blank = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids))
         self.cuts = re.compile(f"[{blank}]|{SPACE}*[^{SPACE}{blank}]+|{SPACE}+" if blank else f"{SPACE}*[^{SPACE}]+|{SPACE}+") if apart else re.compile(r"(?s).+")
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, tuple[bytes, bytes]] = {}
         self.pairs: dict[int, bool] = {}
         self.begin, self.texts = len(m.pieces), [p.piece for p in m.pieces] + [""]
 
@@ -123,7 +126,7 @@ class Pieces:
             at -= back[at]
         return out[::-1]
 
-    def _unigram_path(self, run: str) -> list[int]:
+    def _best_path(self, run: str) -> list[int]:
         best, last = [0.0] + [-np.inf] * len(run), [""] + [None] * len(run)
         at = 0
         for end, (_, _, piece) in self.automaton.iter(run):
@@ -143,10 +146,9 @@ class Pieces:
     def _unknown(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")] if self.fallback else [self.unknown]
 
-    def _cut(self, text: str) -> list[int]:
+    def _cut(self, text: str, path) -> list[int]:
         out: list[int] = []
         at = 0
-        path = self._bpe_path if self.bpe else self._unigram_path
         while at < len(text):
             end = at
             while end < len(text) and text[end] in self.chars:
@@ -160,21 +162,27 @@ class Pieces:
             at = end
         return out
 
-    def encode(self, text: str | None) -> np.ndarray:
+    def encode_both(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """ids and best_ids."""
         if not text:
-            return np.empty(0, np.int32)
+            return np.empty(0, np.int32), np.empty(0, np.int32)
         text = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
-        known, out = self.known, []
+        known, out, best = self.known, [], []
         for cut in self.cuts.findall(text):
-            ids = known.get(cut)
-            if ids is None:
-                ids = np.array(self._cut(cut), np.int32).tobytes()
+            both = known.get(cut)
+            if both is None:
+                sums = np.array(self._cut(cut, self._best_path), np.int32).tobytes()
+                both = (np.array(self._cut(cut, self._bpe_path), np.int32).tobytes() if self.bpe else sums, sums)
                 if len(cut) <= LONGEST_KNOWN:
                     if len(known) >= MOST_KNOWN:
                         known.clear()
-                    known[cut] = ids
-            out.append(ids)
-        return np.frombuffer(b"".join(out), np.int32)
+                    known[cut] = both
+            out.append(both[0])
+            best.append(both[1])
+        return np.frombuffer(b"".join(out), np.int32), np.frombuffer(b"".join(best), np.int32)
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.encode_both(text)[0]
 
     def decode(self, ids: np.ndarray) -> str:
         surface = self.surface
@@ -182,33 +190,43 @@ class Pieces:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
+def lists(ids: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)]).astype(np.int32), np.concatenate(ids))
+
+
 def encoded(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ids (array of int)."""
+    """doc_id, ids and best_ids (arrays of int)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = worker_cache(f"pieces {model}", lambda: Pieces.read(model))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = [pieces.encode(t) for t in part.column("text").to_pylist()]
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(ends, np.concatenate(ids))], ["doc_id", "ids"])
+        for part in text_chunks(batches):
+            ids, best = zip(*map(pieces.encode_both, part.column("text").to_pylist()), strict=True)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists(list(ids)), lists(list(best))], ["doc_id", "ids", "best_ids"])
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, best_ids array<int>")
+
+
+def crc(ids: np.ndarray) -> int:
+    return zlib.crc32(ids.astype("<u4").tobytes())
+
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+DIGEST = "doc_id long, n_tokens long, ids_crc32 long, best_tokens long, best_crc32 long, text_chars long, text_sha256 string"
 
 
 def decoded(rows: DataFrame, model: str) -> DataFrame:
-    """rows (doc_id, ids) with the ids' text: doc_id, n_tokens, ids_crc32 (little-endian unsigned 32-bit), text_chars, text_sha256."""
+    """rows (doc_id, ids, best_ids) with the ids' text: numbers and checksums (of little-endian unsigned 32-bit ids) of both, text_chars, text_sha256.
+    The text is null where ids and best_ids do not decode alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = worker_cache(f"pieces {model}", lambda: Pieces.read(model))
         for batch in batches:
             out = []
-            for doc, row in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                ids = row.values.to_numpy() if row.is_valid else np.empty(0, np.int32)
+            for doc, *both in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), batch.column("best_ids"), strict=True):
+                ids, best = (x.values.to_numpy() if x.is_valid else np.empty(0, np.int32) for x in both)
                 text = pieces.decode(ids)
-                out.append((doc, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), len(text), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()))
-            cols = list(zip(*out, strict=True)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string())], ["doc_id", "n_tokens", "ids_crc32", "text_chars", "text_sha256"])
+                same = text == pieces.decode(best)
+                out.append((doc, len(ids), crc(ids), len(best), crc(best), len(text) if same else None, hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest() if same else None))
+            cols = list(zip(*out, strict=True)) if out else [()] * 7
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.string())], [c.split()[0] for c in DIGEST.split(", ")])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, text_chars long, text_sha256 string")
+    return rows.select("doc_id", "ids", "best_ids").mapInArrow(run, DIGEST)

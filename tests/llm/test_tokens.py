@@ -54,6 +54,30 @@ def test_unigram_scores_are_the_best(model):
         assert abs(score(mine.encode(t).tolist()) - score(lib.encode(t))) < 1e-3, t
 
 
+def plain_best_sum(pieces, cut):
+    """The best sum of scores over all ways to cut a text into pieces, by plain dynamic programming."""
+    longest, best = max(map(len, pieces.scores)), [0.0] + [-np.inf] * len(cut)
+    for end in range(1, len(cut) + 1):
+        for start in range(max(0, end - longest), end):
+            best[end] = max(best[end], best[start] + pieces.scores.get(cut[start:end], -np.inf))
+    return best[-1]
+
+
+def test_best_sums_of_the_query(spark, model):
+    """Every document of the table: its best_ids have the best sum, and decode to the text."""
+    mine = sentence_pieces.Pieces(model[0])
+    score = {mine.ids[p]: s for p, s in mine.scores.items()}
+    rows = {r["doc_id"]: r for r in op3_sentencepiece(spark, SF).collect()}
+    cuts = set()
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        _, best = mine.encode_both(r["text"])
+        got = rows[r["doc_id"]]
+        assert (got["best_tokens"], got["best_crc32"], got["text_chars"]) == (len(best), sentence_pieces.crc(best), len(r["text"]))
+        cuts.update(c for c in mine.cuts.findall("▁" + r["text"].replace(" ", "▁")) if all(x in mine.chars for x in c))
+    for cut in sorted(cuts)[::6]:
+        assert abs(sum(score[i] for i in mine._cut(cut, mine._best_path)) - plain_best_sum(mine, cut)) < 1e-6, cut
+
+
 def test_encoding_edges(spark, docs, nothing):
     path = sentence_pieces.model_path()
     got = {}
@@ -97,16 +121,30 @@ def checked(pieces, tokens, window):
     return padding
 
 
-@pytest.mark.parametrize(("seed", "most"), [(1, 2048), (2, 3), (3, 1)])
-def test_windows(seed, most):
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_windows(seed):
     r = np.random.default_rng(seed)
     tokens = {i: r.integers(0, 50_000, n).astype(np.uint32) for i, n in enumerate(r.integers(1, 90, 400))}
     tokens[1000] = r.integers(0, 9, 64).astype(np.uint32)
-    w = packing.Windows(32, 0, most)
+    w, last = packing.Windows(32), packing.Windows(32, 1 << 62)
     for d, t in tokens.items():
         w.add(d, t)
-    w.close()
-    assert checked(w.out, tokens, 32) == 0
+        if w.n_open > 5 * seed:
+            for p in w.unplaced():
+                last.place(p)
+    for p in w.unplaced():
+        last.place(p)
+    last.close()
+    assert checked(w.out + last.out, tokens, 32) == 0 and w.cut == 0 and last.by_rule > 0
+
+
+def test_rests_of_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_OPEN", 3)
+    monkeypatch.setattr(packing, "MANY_RESTS", 40)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(7)
+    encode = packing.ByteBpe()
+    tokens = {r["doc_id"]: np.append(encode(r["text"] or ""), np.uint32(1)).astype(np.uint32) for r in docs.collect()}
+    assert checked([tuple(r) for r in packing.packed(docs, 256).collect()], tokens, 256) == 0
 
 
 def test_sum_of_squares_choice():

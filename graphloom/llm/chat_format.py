@@ -1,9 +1,9 @@
 """Chat formatting with prefix-target expansion (DataFrame functions only).
 
-Every turn becomes one marked piece of its conversation's text. Every assistant turn becomes an example of its own: its
-context is all text before its reply, and only the reply is trainable. All examples of a conversation are prefixes of the
-one formatted text, so an example is kept as three offsets into it (context end = target start, and target end); their
-texts, whose sum grows with the square of the turns, are cut only where they are asked for (example_texts()).
+Every turn becomes one marked piece of its conversation's text. Every assistant turn becomes an example, a row of its own:
+its context is all text before its reply, and only the reply, its target, is trainable. All contexts of a conversation are
+prefixes of the one formatted text, so an example holds the end of its context in that text; the contexts themselves,
+whose sum grows with the square of the turns, are cut only where they are asked for (example_texts()).
 
 Control strings inside roles and texts are escaped, reversibly: each backslash is doubled, then "<|" becomes "<\\|".
 A single backslash after "<" cannot come from doubling, so the inverse is exact. In roles, which end at a line break, a
@@ -53,18 +53,25 @@ def format_turns(turns: DataFrame) -> DataFrame:
     return t.select("conv_id", "seq", "piece", "begin", start.alias("target_start"), (start + F.length("body")).alias("target_end"), (F.col("role") == TRAINED_ROLE).alias("trained"))
 
 
-def format_conversations(turns: DataFrame) -> DataFrame:
-    """A row for each conversation: conv_id, formatted, and examples, an array of (context_end, target_start, target_end)."""
-    span = F.struct(F.col("target_start").alias("context_end"), "target_start", "target_end")
-    made = format_turns(turns).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("seq", "piece"))).alias("pieces"), F.array_sort(F.collect_list(F.when(F.col("trained"), span))).alias("examples"))
-    return made.select("conv_id", F.array_join(F.col("pieces.piece"), "").alias("formatted"), "examples")
+def expanded(pieces: DataFrame) -> DataFrame:
+    """format_turns() with one row for each assistant turn: conv_id, example (from 1), context_end, target_start, target_end
+    (code points of the conversation's text) and target, the trainable text as it stands there."""
+    order = Window.partitionBy("conv_id").orderBy("seq")
+    target = F.substr("piece", (F.col("target_start") - F.col("begin") + 1).cast("int"), (F.col("target_end") - F.col("target_start")).cast("int"))
+    return pieces.where("trained").select("conv_id", F.row_number().over(order).alias("example"), F.col("target_start").alias("context_end"), "target_start", "target_end", target.alias("target"))
 
 
-def example_texts(formatted: DataFrame) -> DataFrame:
-    """A row for each example: conv_id, example (from 1), context and target, both as they stand in the formatted text."""
-    x = formatted.select("conv_id", "formatted", F.posexplode("examples").alias("k", "x"))
+def format_conversations(pieces: DataFrame) -> DataFrame:
+    """format_turns() with one row for each conversation: conv_id, formatted."""
+    made = pieces.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("seq", "piece"))).alias("pieces"))
+    return made.select("conv_id", F.array_join(F.col("pieces.piece"), "").alias("formatted"))
+
+
+def example_texts(formatted: DataFrame, examples: DataFrame) -> DataFrame:
+    """A row for each example: conv_id, example, context and target, both as they stand in the formatted text."""
+    both = examples.withColumnRenamed("conv_id", "of").join(formatted, F.col("of").eqNullSafe(F.col("conv_id")))
     cut = lambda a, b: F.substr("formatted", (a + 1).cast("int"), (b - a).cast("int"))
-    return x.select("conv_id", (F.col("k") + 1).alias("example"), cut(F.lit(0), F.col("x.context_end")).alias("context"), cut(F.col("x.target_start"), F.col("x.target_end")).alias("target"))
+    return both.select("conv_id", "example", cut(F.lit(0), F.col("context_end")).alias("context"), cut(F.col("target_start"), F.col("target_end")).alias("target"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -78,13 +85,13 @@ def read_turns(formatted: Column) -> Column:
     return F.transform(pieces, one)
 
 
-def read_targets(formatted: Column, examples: Column) -> Column:
-    """The unescaped texts under the loss mask of each example, in order."""
-    return F.transform(examples, lambda x: unescape(F.substr(formatted, (x["target_start"] + 1).cast("int"), (x["target_end"] - x["target_start"]).cast("int"))))
-
-
-def digests(formatted: DataFrame) -> DataFrame:
-    """What can be read back from format_conversations(), for each conversation."""
-    f = formatted.select("conv_id", "formatted", "examples", read_turns(F.col("formatted")).alias("turns"), F.array_join(read_targets(F.col("formatted"), F.col("examples")), "").alias("loss"))
+def digests(formatted: DataFrame, examples: DataFrame) -> DataFrame:
+    """What can be read back for each conversation: its turns from the formatted text, the trainable texts from the examples."""
+    read = formatted.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return f.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), F.size("examples").cast("long").alias("n_examples"))
+    read = read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    told = examples.groupBy(F.col("conv_id").alias("of")).agg(F.array_sort(F.collect_list(F.struct("example", "target"))).alias("x"))
+    told = told.select("of", F.array_join(F.transform("x", lambda e: unescape(e["target"])), "").alias("loss"), F.size("x").cast("long").alias("n"))
+    loss = F.coalesce("loss", F.lit(""))
+    found = read.join(told, F.col("of").eqNullSafe(F.col("conv_id")), "left")
+    return found.select("conv_id", "n_turns", "turns_sha256", F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), "formatted_chars", F.coalesce("n", F.lit(0)).alias("n_examples"))

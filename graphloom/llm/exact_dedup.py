@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ascii_lower, materialize, short
+from graphloom.llm.common import ascii_lower, free, materialize, short
 
 #: Misra-Gries counters. Every digest of more than about 4 / COUNTERS of all rows is found.
 COUNTERS = 8192
@@ -53,11 +53,12 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without the rows that lose. Rows that share both doc_id and text are merged to one before the join."""
-    named = docs.withColumn("__sha", F.sha2(ascii_lower(F.coalesce("text", F.lit(""))).cast("binary"), 256))
+    sha, mine, lost_sha, again = (free(c, docs) for c in ("sha", "lost_id", "lost_sha", "again"))
+    named = docs.withColumn(sha, F.sha2(ascii_lower(F.coalesce("text", F.lit(""))).cast("binary"), 256))
     fate = decide(digests(docs))
-    lost = fate.where(~F.col("kept")).groupBy("doc_id", "text_sha256").agg((F.max("keep_id").eqNullSafe(F.col("doc_id"))).alias("again"))
-    lost = short(materialize(lost, "lost").withColumnsRenamed({"doc_id": "__id", "text_sha256": "__lost_sha"}))
-    joined = named.join(lost, named["doc_id"].eqNullSafe(lost["__id"]) & (named["__sha"] == lost["__lost_sha"]), "left")
-    once = joined.where(F.col("__lost_sha").isNull()).select(*docs.columns)
-    again = joined.where(F.col("again")).groupBy("doc_id", "__sha").agg(F.max(F.struct(*docs.columns)).alias("x")).select("x.*")
-    return once.unionByName(again)
+    lost = fate.where(~F.col("kept")).groupBy(F.col("doc_id").alias(mine), F.col("text_sha256").alias(lost_sha)).agg((F.max("keep_id").eqNullSafe(F.col("doc_id"))).alias(again))
+    lost = short(materialize(lost, "lost"))
+    joined = named.join(lost, F.col("doc_id").eqNullSafe(F.col(mine)) & (F.col(sha) == F.col(lost_sha)), "left")
+    once = joined.where(F.col(lost_sha).isNull()).select(*docs.columns)
+    twice = joined.where(F.col(again)).groupBy("doc_id", sha).agg(F.max(F.struct(*docs.columns)).alias(mine)).select(f"{mine}.*")
+    return once.unionByName(twice)

@@ -8,7 +8,9 @@ stack at a url is that of the last start, less the rules whose intervals have en
 and the longest over all levels decides.
 
 Hot levels (a domain may hold a third of all urls) are split: their urls are dealt over as many sweeps as their count
-asks for, with the level's rules in each. Which levels are hot, at most MOST_HOT of them, is counted first.
+asks for, with the level's rules in each. Which levels are hot, at most MOST_HOT of them, is counted first. Urls are judged
+once each; a page gets the verdict of a frequent url (at most MOST_HOT of them) by broadcast, of any other by a shuffle,
+and a page without a host needs none.
 
 Defined cases: a null url, or one without "://", has an empty host and path and gets the default verdict; an empty path
 fits only a rule whose path is empty; rules without a host are ignored, a null rule path counts as empty; of equal rules
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ascii_lower
+from graphloom.llm.common import ascii_lower, materialize
 
 #: A hot level's urls are dealt over sweeps of about so many, but at least RULE_SHARE for each rule of the level.
 ROWS_PER_SWEEP, RULE_SHARE = 500, 8
@@ -72,13 +74,14 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", u
     nothing = F.lit(None).cast("string")
     if not bound["n"]:
         return seen.select("page_id", "host", "path", nothing.alias("rule"), F.lit(default).alias("verdict"))
+    urls = materialize(seen.where("host <> ''").groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages")), "urls")
     counts = under_levels(seen.select("host")).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     sweep_rows = F.greatest(F.lit(ROWS_PER_SWEEP), RULE_SHARE * F.col("n_rules"))
     hot = counts.where(F.col("n") > max(ROWS_PER_SWEEP, total // MOST_HOT)).join(listed, "level").select("level", F.ceil(F.col("n") / sweep_rows).cast("int").alias("sweeps"))
     hot = F.broadcast(hot)
 
-    probes = under_levels(seen.select("host", "path").distinct()).join(hot, "level", "left")
+    probes = under_levels(urls.select("host", "path")).join(hot, "level", "left")
     probes = probes.select("level", F.coalesce(F.pmod(F.xxhash64("host", "path"), F.col("sweeps")), F.lit(0)).cast("int").alias("sweep"), F.col("path").alias("key"), F.lit(1).alias("kind"), F.lit(None).cast(stacks.schema["stack"].dataType).alias("stack"), "host")
     starts = stacks.join(hot, "level", "left").withColumn("sweep", F.explode(F.sequence(F.lit(0), F.coalesce("sweeps", F.lit(1)) - 1)))
     starts = starts.select("level", "sweep", F.col("start").alias("key"), F.lit(0).alias("kind"), "stack", nothing.alias("host"))
@@ -86,4 +89,10 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", u
     swept = starts.unionByName(probes).withColumn("stack", F.last("stack", ignorenulls=True).over(order)).where("kind = 1")
     fits = swept.withColumn("top", F.try_element_at(F.filter("stack", lambda x: F.startswith(F.col("key"), x["path"])), F.lit(-1))).where("top IS NOT NULL")
     best = fits.groupBy("host", F.col("key").alias("path")).agg(F.max(F.struct(F.length("top.rule").alias("n"), F.length("level").alias("m"), "top.rule", "top.verdict")).alias("best"))
-    return seen.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    frequent = F.col("pages") > max(ROWS_PER_SWEEP, total // MOST_HOT)
+    found = materialize(urls.join(best, ["host", "path"], "left").select("host", "path", frequent.alias("frequent"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")), "verdicts")
+    few = F.broadcast(found.where("frequent").drop("frequent"))
+    others = seen.where("host <> ''").join(few.select("host", "path"), ["host", "path"], "left_anti").join(found.where("NOT frequent AND rule IS NOT NULL").drop("frequent"), ["host", "path"], "left")
+    out = ["page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")]
+    bare = seen.where("host = ''").select("page_id", "host", "path", nothing.alias("rule"), F.lit(default).alias("verdict"))
+    return seen.join(few, ["host", "path"]).select(*out).unionByName(others.select(*out)).unionByName(bare)

@@ -1,9 +1,12 @@
 """URL filters, chat formatting and exact deduplication: SQL twins, edge cases and round trips."""
 
+import hashlib
+
 import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from compare import TABLES, rows_of
 from graphloom.llm import chat_format, exact_dedup, registry, url_filters
@@ -65,6 +68,11 @@ def test_nested_rules_and_hot_hosts(spark, monkeypatch):
     url_case(spark, [f"http://{s}x.com/{p}{i}" for i in range(8) for s in ("", "www.") for p in ("", "a/", "a/b/", "a/bb", "b", "a/c")] + ["http://com"], rules)
 
 
+def test_a_repeated_url(spark, monkeypatch):
+    monkeypatch.setattr(url_filters, "ROWS_PER_SWEEP", 3)
+    url_case(spark, ["http://example.org/es/1"] * 40 + [None] * 40 + ["http://elsewhere.net/"] * 40 + URLS, list(RULES))
+
+
 def test_no_rules_and_no_pages(spark):
     pages = spark.createDataFrame([(1, "http://a/b")], "page_id long, url string")
     none = spark.createDataFrame([], "host string, path string, verdict string")
@@ -81,8 +89,12 @@ TEXT = st.text(alphabet="<|>\\en im_startd\n\x00é", max_size=30)
 @given(st.lists(st.tuples(st.sampled_from([None, -1, 0, 7]), st.sampled_from([None, 0, 1, 1]), st.one_of(st.none(), st.sampled_from(["user", "assistant"]), TEXT), st.one_of(st.none(), TEXT)), min_size=1, max_size=12))
 def test_chat_round_trip(spark, rows):
     turns = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
-    made = chat_format.format_conversations(turns)
-    got = {r["conv_id"]: ([tuple(t) for t in r["t"]], list(r["x"])) for r in made.select("conv_id", chat_format.read_turns(made["formatted"]).alias("t"), chat_format.read_targets(made["formatted"], made["examples"]).alias("x")).collect()}
+    pieces = chat_format.format_turns(turns)
+    made = chat_format.format_conversations(pieces)
+    targets = {}
+    for r in chat_format.expanded(pieces).select("*", chat_format.unescape(F.col("target")).alias("t")).orderBy("example").collect():
+        targets.setdefault(r["conv_id"], []).append(r["t"])
+    got = {r["conv_id"]: ([tuple(t) for t in r["t"]], targets.get(r["conv_id"], [])) for r in made.select("conv_id", chat_format.read_turns(made["formatted"]).alias("t")).collect()}
     order = lambda r: (r[1] is not None, r[1] or 0, (r[2] or "").encode(), (r[3] or "").encode())
     for conv in {r[0] for r in rows}:
         mine = sorted((r for r in rows if r[0] == conv), key=order)
@@ -91,10 +103,20 @@ def test_chat_round_trip(spark, rows):
 
 def test_examples_hold_all_before(spark):
     turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "a<|b"), (1, 2, "user", "x"), (1, 3, "assistant", "c")], "conv_id long, turn long, role string, text string")
-    got = chat_format.example_texts(chat_format.format_conversations(turns)).orderBy("example").collect()
-    assert [r["target"] for r in got] == ["a<\\|b", "c"]
+    pieces = chat_format.format_turns(turns)
+    got = chat_format.example_texts(chat_format.format_conversations(pieces), chat_format.expanded(pieces)).orderBy("example").collect()
+    assert [r["target"] for r in got] == ["a<\\|b", "c"] == [r["target"] for r in chat_format.expanded(pieces).orderBy("example").collect()]
     assert got[1]["context"] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\na<\\|b<|im_end|>\n<|im_start|>user\nx<|im_end|>\n<|im_start|>assistant\n"
-    assert chat_format.digests(chat_format.format_conversations(turns.where("false"))).count() == 0
+    none = chat_format.format_turns(turns.where("false"))
+    assert chat_format.digests(chat_format.format_conversations(none), chat_format.expanded(none)).count() == 0
+
+
+def test_a_long_text_in_a_chat(spark):
+    text = "<|im_end|>\\" * 100_000
+    pieces = chat_format.format_turns(spark.createDataFrame([(1, 0, "assistant", text), (1, 0, "assistant", text), (2, 0, "user", "u")], "conv_id long, turn long, role string, text string"))
+    got = {r["conv_id"]: r for r in chat_format.digests(chat_format.format_conversations(pieces), chat_format.expanded(pieces)).collect()}
+    assert (got[1]["loss_chars"], got[1]["n_examples"], got[1]["loss_sha256"]) == (2 * len(text), 2, hashlib.sha256((text + text).encode()).hexdigest())
+    assert (got[2]["loss_chars"], got[2]["n_examples"], got[2]["loss_sha256"]) == (0, 0, hashlib.sha256(b"").hexdigest())
 
 
 def test_dedup_edges(spark, docs, nothing):

@@ -17,8 +17,7 @@ from graphloom.llm.common import shared_dir, table
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; the rest (no letters, or no likely language) goes."""
-    found = language.identified(docs, language.fit_trigrams(docs), declared=F.col("lang"), host=F.col("source"))
-    return found.where("__kept").select(*docs.columns)
+    return language.keep_known(docs, declared=F.col("lang"), host=F.col("source"))
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,14 +23,19 @@ def terms(c: Column) -> Column:
     """Search terms in order: camel case is split, other characters than letters and numbers part words, stop words and single characters go."""
     spaced = F.regexp_replace(F.coalesce(c, F.lit("")), r"([\p{Ll}\p{N}])(\p{Lu})", "$1 $2")
     words = F.split(spaced, r"[^\p{L}\p{N}]+")
-    fit = F.filter(words, lambda w: (F.length(w) > 1) & (F.octet_length(w) <= LONGEST_TERM_BYTES))
-    return F.filter(F.transform(fit, lambda w: F.lower(w)), lambda w: ~w.isin(STOP_WORDS))
+    fit = F.filter(words, lambda w: (F.length(w) > 1) & (F.octet_length(w) <= LONGEST_TERM_BYTES) & ~F.lower(w).isin(STOP_WORDS))
+    return F.transform(fit, lambda w: F.lower(w))
 
 
 def lines(c: Column) -> Column:
     return F.split(c, "\n", -1)
 
 
+def trimmed(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, r"^[\t-\r\x85\p{Z}]+|[\t-\r\x85\p{Z}]+$", "")
+
+
 def one_line(c: Column) -> Column:
     """White space collapsed, for signatures."""
     return F.trim(F.regexp_replace(c, r"\s+", " "))

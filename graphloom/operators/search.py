@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import re
+import string
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import ascii_lower, lines, terms
+from graphloom.functions.text import LONGEST_TERM_BYTES, STOP_WORDS, ascii_lower, lines, terms, trimmed
+
+
+def ascii_folded(query: str) -> str:
+    return query.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
 
 
 def name_search(symbols: DataFrame, query: str, mode: str = "substring", kind: str | None = None, exported: bool | None = None) -> DataFrame:
     """symbols (name, signature, kind, path, line) that match; exact hits, then short names, come first (`place`)."""
-    needle, name = query.translate(str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})), ascii_lower(F.col("name"))
+    needle, name = ascii_folded(query), ascii_lower(F.col("name"))
     inside = name.contains(needle) | F.coalesce(ascii_lower(F.col("signature")).contains(needle), F.lit(False))
     ok = {"exact": name == needle, "prefix": name.startswith(needle), "substring": F.lit(True)}[mode] & inside
     if kind is not None:
@@ -31,29 +36,41 @@ def ranked(rows: DataFrame, *order, limit: int | None = None) -> DataFrame:
 def fuzzy_search(symbols: DataFrame, query: str) -> DataFrame:
     """symbols with their edit distance to the query, where that is small. Bytes decide what is small, characters whether a
     name is looked at at all."""
-    needle = query.lower()
+    needle = ascii_folded(query)
     name, n_chars, n_bytes = ascii_lower(F.col("name")), len(needle), len(needle.encode())
     longest = F.greatest(F.octet_length(name), F.lit(n_bytes))
     small = F.floor(longest * 2 / 5)
-    contains = name.contains(needle) | F.lit(needle).contains(name)
+    contains = name.contains(needle)
     near = symbols.where((F.abs(F.length(name) - n_chars) <= F.greatest(F.lit(3), small)) | contains)
     distance = F.levenshtein(name, F.lit(needle))
     return near.withColumn("distance", distance).where((F.col("distance") <= 3) | ((longest > 4) & (F.col("distance") <= small)) | contains)
 
 
 def literal_search(literals: DataFrame, query: str) -> DataFrame:
-    """literals (value, ...) that contain the query in any case; `inexact` is case-sensitive."""
-    return literals.where(F.lower("value").contains(query.lower())).withColumn("inexact", (F.col("value") != query).cast("int"))
+    """literals (value, ...) that contain the query, A-Z in any case; `inexact` is case-sensitive."""
+    return literals.where(ascii_lower(F.col("value")).contains(ascii_folded(query))).withColumn("inexact", (F.col("value") != query).cast("int"))
 
 
 def grep(docs: DataFrame, query: str, content: str = "text") -> DataFrame:
-    """Lines that hold the whole query or one of its terms: *, line (from 1), snippet, full, coverage."""
-    words = sorted(set(re.findall(r"[^\W_]{2,}", query.lower())))
-    each = docs.select(*[c for c in docs.columns if c != content], F.posexplode(lines(F.col(content))).alias("pos", "raw"))
-    low = F.lower("raw")
-    held = F.array_compact(F.array(*[F.when(low.contains(w), F.lit(w)) for w in words])) if words else F.array().cast("array<string>")
-    each = each.withColumns({"full": low.contains(query.lower()), "coverage": F.size(held)})
-    return each.where(F.col("full") | (F.col("coverage") > 0)).select(*[c for c in docs.columns if c != content], (F.col("pos") + 1).alias("line"), F.trim("raw").alias("snippet"), F.col("full").cast("int").alias("full"), "coverage")
+    """Lines that hold the whole query in any case, or one of its search terms: *, line (from 1), snippet, full, coverage.
+    Only lines that could hold a term are split into terms."""
+    keep = [c for c in docs.columns if c != content]
+    each = docs.select(*keep, F.posexplode(lines(F.col(content))).alias("pos", "raw"))
+    low, words = F.lower("raw"), query_terms(query)
+    some = F.lit(False)
+    for w in words:
+        some |= low.contains(w)
+    coverage = F.when(some, F.size(F.array_intersect(terms(F.col("raw")), F.array(*map(F.lit, words))))).otherwise(0) if words else F.lit(0)
+    each = each.withColumn("full", low.contains(query.lower())).where(F.col("full") | some).withColumn("coverage", coverage)
+    return each.where(F.col("full") | (F.col("coverage") > 0)).select(*keep, (F.col("pos") + 1).alias("line"), trimmed(F.col("raw")).alias("snippet"), F.col("full").cast("int").alias("full"), "coverage")
+
+
+def query_terms(query: str) -> list[str]:
+    """The search terms of a query, as terms() finds them in a column."""
+    after = lambda c: c.islower() or c.isnumeric()
+    spaced = "".join(f" {c}" if i and c.isupper() and after(query[i - 1]) else c for i, c in enumerate(query))
+    words = "".join(c if c.isalpha() or c.isnumeric() else " " for c in spaced).split()
+    return sorted({w.lower() for w in words if len(w) > 1 and len(w.encode()) <= LONGEST_TERM_BYTES} - set(STOP_WORDS))
 
 
 def staged(tiers: list[tuple[int, DataFrame]], limit: int) -> DataFrame:
@@ -103,16 +120,29 @@ def mode_of(query: str, mode: str | None = None, lexical_options: bool = False,
     return "hybrid" if automatic and not lexical_options and len(query.split()) > 1 else "lexical"
 
 
-def best_excerpt(docs: DataFrame, query_terms: list[str], content: str = "text") -> DataFrame:
+def best_excerpt(docs: DataFrame, wanted: list[str], content: str = "text") -> DataFrame:
     """For each document the line that holds most distinct query terms, the first of them, and where to begin reading:
-    the line before, if that is within 120 bytes. Lines are ranked within their row; nothing is shuffled."""
-    wanted = F.array(*map(F.lit, sorted(set(query_terms))))
-    rows = F.transform(lines(F.col(content)), lambda l, i: F.struct(F.size(F.array_intersect(terms(l), wanted)).alias("n"), (-i).alias("at"), l.alias("text")))
-    out = docs.withColumn("__rows", rows).withColumn("__best", F.array_max(F.col("__rows")))
+    the line before, if that is within 120 bytes. Lines are ranked within their row, and only those that could hold a term
+    are split into terms; nothing is shuffled."""
+    words = sorted(set(wanted))
+
+    def held(line: Column) -> Column:
+        low, some = F.lower(line), F.lit(False)
+        for w in words:
+            some |= low.contains(w)
+        return F.when(some, F.size(F.array_intersect(terms(line), F.array(*map(F.lit, words))))).otherwise(0)
+
+    keep, low = [c for c in docs.columns if c != content], F.lower(content)
+    some = F.lit(False)
+    for w in words:
+        some |= low.contains(w)
+    rows = docs.where(some).select(*keep, lines(F.col(content)).alias("__lines"))
+    best = F.array_max(F.transform("__lines", lambda l, i: F.struct(held(l).alias("n"), (-i).alias("at"))))
+    out = rows.withColumn("__best", best).where("__best.n > 0")
     at = -F.col("__best.at")
-    before = F.try_element_at(F.col("__rows.text"), F.greatest(at, F.lit(1)))
+    before = F.try_element_at("__lines", F.greatest(at, F.lit(1)))
     start = F.when((at > 0) & (F.octet_length(before) < 120), at).otherwise(at + 1)
-    return out.where("__best.n > 0").select(*[c for c in docs.columns if c != content], (at + 1).cast("int").alias("line"), F.col("__best.n").alias("hits"), start.cast("int").alias("start_line"), F.col("__best.text").alias("excerpt"))
+    return out.select(*keep, (at + 1).cast("int").alias("line"), F.col("__best.n").alias("hits"), start.cast("int").alias("start_line"), F.element_at("__lines", (at + 1).cast("int")).alias("excerpt"))
 
 
 def line_eligible(hits: DataFrame, symbols: DataFrame) -> DataFrame:

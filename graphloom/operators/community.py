@@ -27,10 +27,11 @@ def louvain(links: list[tuple[str, str, float]], resolution: float = RESOLUTION)
     member = list(range(len(names)))
     for _ in range(LEVELS):
         placed, moved = _one_level(near, resolution)
-        ids = {c: k for k, c in enumerate(sorted(set(placed)))}
-        member = [ids[placed[m]] for m in member]
+        # Communities are numbered as they first appear, which is the order in which the next level visits them.
+        ids = {c: k for k, c in enumerate(dict.fromkeys(placed))}
         if not moved or len(ids) == len(near):
             break
+        member = [ids[placed[m]] for m in member]
         merged: list[dict[int, float]] = [defaultdict(float) for _ in ids]
         for i, some in enumerate(near):
             for j, w in some.items():

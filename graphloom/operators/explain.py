@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.paths import module_root, parent
-from graphloom.functions.text import lines
+from graphloom.functions.text import lines, trimmed
 
 #: Confidence up to which an edge makes what it reaches risky.
 RISKY = 0.7
@@ -18,7 +18,7 @@ SIGNATURE_LINES = 5
 def find_targets(nodes: DataFrame, query: str) -> DataFrame:
     """nodes (id, label, path, qualified) that a query names: by qualified name, label, id, id suffix, path or path suffix."""
     q = F.col("qualified")
-    ok = (q == query) | (F.replace(q, F.lit("::"), F.lit(".")) == query) | (F.col("label") == query) | (F.col("id") == query) | F.col("id").endswith(f"::{query}") | (F.col("path") == query) | F.col("path").endswith(f"/{query}")
+    ok = (q == query) | (F.replace(q, F.lit("::"), F.lit(".")) == query) | (F.col("label") == query) | (F.col("id") == query) | F.col("id").endswith(f"::{query}") | (F.col("path") == query) | F.col("path").endswith(query)
     return nodes.where(F.coalesce(ok, F.lit(False)))
 
 
@@ -41,8 +41,12 @@ def risky(exported: Column, confidence: Column, community: Column, other_communi
 
 
 def snippets(edges: DataFrame, files: DataFrame, content: str = "content") -> DataFrame:
-    """edges (path, line) with the trimmed source line they come from."""
-    return edges.join(files.select("path", content), "path", "left").withColumn("snippet", F.trim(F.try_element_at(lines(F.col(content)), F.col("line").cast("int")))).drop(content)
+    """edges (path, line) with the trimmed source line they come from; null for a blank line or none. Only the lines that edges
+    name leave their file, one row for each."""
+    wanted = edges.where("line > 0").groupBy("path").agg(F.collect_set(F.col("line").cast("int")).alias("wanted"))
+    named = files.select("path", content).join(wanted, "path").select("path", lines(F.col(content)).alias("l"), "wanted")
+    each = named.select("path", F.explode(F.transform("wanted", lambda n: F.struct(n.alias("line"), F.nullif(trimmed(F.try_element_at("l", n)), F.lit("")).alias("snippet")))).alias("x"))
+    return edges.join(each.select("path", F.col("x.line").alias("line"), "x.snippet"), ["path", "line"], "left")
 
 
 def signature(content: Column, start_line: Column) -> Column:
@@ -108,18 +112,19 @@ def hash_embedding(words: Column, dims: int = 64) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.aggregate(F.filter(words, lambda w: at(w) == d), F.lit(0.0), lambda s, w: s + sign(w)))
 
 
-def field_chain(starts: DataFrame, fields: DataFrame, most: int = 4) -> DataFrame:
-    """id, type of `a.b.c`: each hop looks the field up in the type reached so far. starts: id, type, hops (array); fields: owner, name, type."""
+def field_chain(starts: DataFrame, fields: DataFrame) -> DataFrame:
+    """id, type of `a.b.c`: each hop looks the field up in the type reached so far. starts: id, type, hops (array); fields: owner, name, type.
+    There are as many rounds as the longest chain has hops."""
     now = starts.select("id", "type", "hops")
     step = fields.select(F.col("owner").alias("o"), F.col("name").alias("f"), F.col("type").alias("t"))
-    for _ in range(most):
+    for _ in range(now.agg(F.max(F.size("hops"))).first()[0] or 0):
         hop = F.try_element_at("hops", F.lit(1))
         joined = now.join(step, (F.col("type") == F.col("o")) & (hop == F.col("f")), "left")
         now = joined.select("id", F.when(F.size("hops") > 0, F.col("t")).otherwise(F.col("type")).alias("type"), F.slice("hops", 2, 1 << 20).alias("hops"))
     return now.select("id", F.when(F.size("hops") == 0, F.col("type")).alias("type"))
 
 
-def scope_bindings(uses: DataFrame, scopes: DataFrame, bindings: DataFrame, most: int = 12) -> DataFrame:
+def scope_bindings(uses: DataFrame, scopes: DataFrame, bindings: DataFrame) -> DataFrame:
     """use_id, binding_id, kind: the binding of a name in the innermost scope that declares it before the use. More than one
     in that scope is no answer. uses: use_id, file_id, name, position; scopes: scope_id, file_id, start, end; bindings:
     binding_id, scope_id, name, kind, at."""

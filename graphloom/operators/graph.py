@@ -93,16 +93,19 @@ def pruned_externals(nodes: DataFrame, edges: DataFrame, include: bool) -> tuple
     return kept, edges
 
 
-def capped(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
-    """At most `most` nodes: structural nodes stay, symbols of least degree go first; 0 is no cap."""
+def capped(nodes: DataFrame, edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """At most `most` nodes, and the edges between what is left: structural nodes stay, symbols of least degree go first (of
+    equals those whose ids sort first); 0 is no cap."""
     if not most:
-        return nodes
+        return nodes, edges
     structural = nodes.where(F.col("kind").isin(*STRUCTURAL))
     room = F.broadcast(structural.agg((F.greatest(F.lit(0), F.lit(most) - F.count(F.lit(1)))).alias("room")))
     symbols = nodes.where(~F.col("kind").isin(*STRUCTURAL)).join(degree(edges), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    first = symbols.orderBy(F.desc("degree"), "id").limit(most).withColumn("place", F.row_number().over(Window.orderBy(F.desc("degree"), "id")))
+    first = symbols.orderBy(F.desc("degree"), F.desc("id")).limit(most).withColumn("place", F.row_number().over(Window.orderBy(F.desc("degree"), F.desc("id"))))
     kept = first.join(room, F.col("place") <= F.col("room")).select(*nodes.columns)
-    return structural.unionByName(kept)
+    gone = nodes.where(~F.col("kind").isin(*STRUCTURAL)).select("id").join(kept.select("id"), "id", "left_anti")
+    links = edges.join(gone.select(F.col("id").alias("source")), "source", "left_anti").join(gone.select(F.col("id").alias("target")), "target", "left_anti").select(edges.columns)
+    return structural.unionByName(kept), links
 
 
 def rolled_up(paths: DataFrame, path: str = "path") -> DataFrame:

@@ -25,8 +25,9 @@ def sync_status(old: DataFrame, new: DataFrame, analyzer: str = "1") -> DataFram
 
 
 def sync_counts(status: DataFrame) -> DataFrame:
+    """scanned: the files on disk and in scope."""
     names = ("added", "changed", "unchanged", "removed", "out_of_scope")
-    return status.agg(F.count(F.lit(1)).alias("scanned"), *[F.count_if(F.col("status") == n).alias(n) for n in names])
+    return status.agg(F.count_if(F.col("status").isin(*names[:3])).alias("scanned"), *[F.count_if(F.col("status") == n).alias(n) for n in names])
 
 
 def without_files(child: DataFrame, doomed: DataFrame, key: str = "file_id") -> DataFrame:

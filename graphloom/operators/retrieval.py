@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.text import terms
 from graphloom.functions.vectors import cosine
 
 FUSION_OFFSET, MOST_FUSED = 60, 100
@@ -60,17 +61,27 @@ def expanded(seeds: DataFrame, edges: DataFrame, most_seeds: int = 32, most: int
     return near.join(first.select(F.col("key").alias("node")), "node", "left_anti").orderBy("place", "node").limit(most)
 
 
-def supports(hits: DataFrame, relations: DataFrame, query_terms: list[str], text: Column, scanned: int = 50, kept: int = 3) -> DataFrame:
-    """Up to `kept` related symbols for each hit (key): most query terms in their text, then confidence. relations: key, node, confidence."""
-    w = Window.partitionBy("key").orderBy(F.desc("confidence"), "node")
-    some = relations.join(F.broadcast(hits.select("key")), "key").withColumn("k", F.row_number().over(w)).where(F.col("k") <= scanned)
-    overlap = sum((text.contains(t).cast("int") for t in query_terms), F.lit(0))
+def supports(hits: DataFrame, relations: DataFrame, related: DataFrame, query: str, scanned: int = 50, kept: int = 3) -> DataFrame:
+    """Up to `kept` related symbols for each hit (key): of its first `scanned` neighbours those that share most search terms with
+    the query, then the most confident. relations: key, node, confidence, ordinal (their order); related: node, text. The
+    hits are one answer's, so their number is the answer's limit."""
+    once = relations.join(hits.select("key").distinct(), "key").groupBy("key", "node").agg(F.min(F.struct("ordinal", "confidence")).alias("r"))
+    some = once.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("r.ordinal", "node"))).where(F.col("k") <= scanned)
+    words = F.lit(query)
+    overlap = F.size(F.array_intersect(terms(F.col("text")), F.array_distinct(terms(words))))
     rank = Window.partitionBy("key").orderBy(F.desc("overlap"), F.desc("confidence"), "node")
-    return some.withColumn("overlap", overlap).withColumn("place", F.row_number().over(rank)).where(F.col("place") <= kept).drop("k")
+    found = some.select("key", "node", "r.confidence").join(related, "node").withColumn("overlap", overlap)
+    return found.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= kept).select("key", "node", "confidence", "overlap", "place")
 
 
-def quality(score: Column, weak: float, candidate: float) -> Column:
-    return F.when(score.isNull() | (score < weak), "empty").when(score < candidate, "weak").otherwise("candidate")
+def quality(hits: Column, best: Column, weak: float | None) -> Column:
+    """One label for an answer, by its number of hits and the relevance of the first: empty, weak or candidate."""
+    low = F.lit(False) if weak is None else best.isNull() | (best < weak)
+    return F.when(hits == 0, "empty").when(low, "weak").otherwise("candidate")
+
+
+#: The grade of an answer; lower ones count for the gain alone.
+ANSWER = 3
 
 
 def metrics(hits: DataFrame, labels: DataFrame) -> DataFrame:
@@ -81,7 +92,7 @@ def metrics(hits: DataFrame, labels: DataFrame) -> DataFrame:
     gain = lambda grade, place: (F.pow(F.lit(2.0), grade) - 1) / F.log2(place + 1.0)
     ideal = labels.where("grade > 0").withColumn("i", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("grade"), "item"))).where("i <= 5")
     ideal = ideal.groupBy("query_id").agg(F.sum(gain(F.col("grade"), F.col("i"))).alias("ideal"))
-    good = F.when(F.col("grade") > 0, F.col("place"))
+    good = F.when(F.col("grade") == ANSWER, F.col("place"))
     got = graded.groupBy("query_id").agg(F.min(good).alias("first"), F.sum(F.when(F.col("place") <= 5, gain(F.col("grade"), F.col("place"))).otherwise(0.0)).alias("dcg"))
     out = got.join(ideal, "query_id", "left")
     flag = lambda n: F.coalesce((F.col("first") <= n).cast("int"), F.lit(0))
@@ -94,12 +105,13 @@ def latencies(records: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def overlap_suppressed(hits: DataFrame, near: int = 5, share: float = 0.8) -> DataFrame:
-    """Hits (query_id, item, file, start, end, place) without those of which an earlier one within `near` places holds or shares 80 %."""
-    a, b = hits.alias("a"), hits.alias("b")
+    """Hits (query_id, item, file, kind, start, end, place) without the types of which a function or method within `near` places,
+    before or after, lies to 80 % inside them."""
+    outer = F.col("a.kind").isin("impl", "class", "struct")
+    a, b = hits.alias("a"), hits.where(F.col("kind").isin("function", "method") & (F.col("end") > F.col("start"))).alias("b")
     common = F.least("a.end", "b.end") - F.greatest("a.start", "b.start")
-    smaller = F.least(F.col("a.end") - F.col("a.start"), F.col("b.end") - F.col("b.start"))
-    near_by = (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.file") == F.col("b.file")) & (F.col("b.place") < F.col("a.place")) & (F.col("a.place") - F.col("b.place") <= near)
-    return a.join(b, near_by & (common >= share * smaller), "left_anti")
+    near_by = (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.file") == F.col("b.file")) & (F.abs(F.col("a.place") - F.col("b.place")) <= near)
+    return a.join(b, outer & near_by & (common >= share * (F.col("b.end") - F.col("b.start"))), "left_anti")
 
 
 def edge_accuracy(edges: DataFrame, labels: DataFrame) -> DataFrame:

@@ -78,30 +78,30 @@ def shortest(edges: DataFrame, pairs: DataFrame, most: int = 8, direction: str =
     return pairs.select("start", "goal").distinct().join(found, ["start", "goal"], "left").select("start", "goal", (F.size("hops") - 1).alias("length"), "hops")
 
 
-def closure(edges: DataFrame, most: int = 64) -> DataFrame:
-    """All (source, target) pairs with a path between them, by doubling: paths of up to 2^k edges after k rounds."""
-    now = checkpointed(edges.select("source", "target").distinct())
-    size = now.count()
-    for _ in range(most):
-        more = now.alias("a").join(now.alias("b"), F.col("a.target") == F.col("b.source")).select(F.col("a.source"), F.col("b.target"))
-        now = checkpointed(now.unionByName(more).distinct())
-        grown = now.count()
-        if grown == size:
-            break
-        size = grown
+def closure(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """All (source, target) pairs with a path between them, or those from roots (node). Only pairs found in the last round are
+    joined: with all pairs, which doubles the length of paths in each round, or from roots with the edges."""
+    steps = checkpointed(edges.select("source", "target").distinct())
+    now = new = steps if roots is None else checkpointed(steps.join(roots.select(F.col("node").alias("source")).distinct(), "source", "left_semi"))
+    while not new.isEmpty():
+        onward = (now if roots is None else steps).select(F.col("source").alias("target"), F.col("target").alias("next"))
+        more = new.join(onward, "target").select("source", F.col("next").alias("target")).distinct()
+        new = checkpointed(more.join(now, ["source", "target"], "left_anti"))
+        now = now.unionByName(new)
     return now
 
 
-def owner_chains(symbols: DataFrame, most: int = 16) -> DataFrame:
-    """id and owners (names, outermost first) of each symbol (id, name, parent)."""
+def owner_chains(symbols: DataFrame) -> DataFrame:
+    """id and owners (names, outermost first) of each symbol (id, name, parent). A chain that comes back to a symbol ends there."""
     up = symbols.select(F.col("id").alias("at"), F.col("name").alias("owner"), F.col("parent").alias("above"))
-    now = symbols.select("id", F.col("parent").alias("at"), F.array().cast("array<string>").alias("owners"))
+    now = symbols.select("id", F.col("parent").alias("at"), F.array().cast("array<string>").alias("owners"), F.array("id").alias("seen"))
     done = None
-    for _ in range(most):
-        ended = now.where("at IS NULL").select("id", "owners")
+    while True:
+        over = F.col("at").isNull() | F.array_contains("seen", F.col("at"))
+        ended = now.where(over).select("id", "owners")
         done = ended if done is None else done.unionByName(ended)
-        going = checkpointed(now.where("at IS NOT NULL").join(up, "at", "left").select("id", F.col("above").alias("at"), F.when(F.col("owner").isNull(), F.col("owners")).otherwise(F.concat(F.array("owner"), "owners")).alias("owners")))
-        if going.isEmpty():
+        step = now.where(~over).join(up, "at", "left")
+        owners = F.when(F.col("owner").isNull(), F.col("owners")).otherwise(F.concat(F.array("owner"), "owners"))
+        now = checkpointed(step.select("id", F.col("above").alias("at"), owners.alias("owners"), F.concat("seen", F.array("at")).alias("seen")))
+        if now.isEmpty():
             return done
-        now = going
-    return done.unionByName(now.select("id", "owners"))

@@ -5,8 +5,13 @@ intervals, positions meet them by buckets of their span (`bucket`), so that the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def innermost(points: DataFrame, spans: DataFrame, key: str = "file_id", bucket: int = 4096) -> DataFrame:
@@ -19,9 +24,13 @@ def innermost(points: DataFrame, spans: DataFrame, key: str = "file_id", bucket:
     return points.select("point_id").join(best, "point_id", "left")
 
 
-def overlapping(ranges: DataFrame, spans: DataFrame, key: str = "file_id") -> DataFrame:
-    """range_id, span_id, place for all overlaps of closed line ranges; smaller spans come first."""
-    hit = ranges.select("range_id", key, F.col("lo"), F.col("hi")).join(spans.select("span_id", key, "start", "end"), key).where("lo <= end AND hi >= start")
+def overlapping(ranges: DataFrame, spans: DataFrame, key: str = "file_id", bucket: int = 256) -> DataFrame:
+    """range_id, span_id, place for all overlaps of closed line ranges; smaller spans come first. They meet by the buckets of lines that
+    they touch, and a pair that meets in several is taken in the first one."""
+    buckets = lambda a, b: F.explode(F.sequence(F.floor(a / bucket), F.floor(F.greatest(a, b) / bucket))).alias("__b")
+    left = ranges.select("range_id", key, F.col("lo"), F.col("hi"), buckets(F.col("lo"), F.col("hi")))
+    right = spans.select("span_id", key, "start", "end", buckets(F.col("start"), F.col("end")))
+    hit = left.join(right, [key, "__b"]).where("lo <= end AND hi >= start").where(F.col("__b") == F.floor(F.greatest("lo", "start") / bucket))
     order = Window.partitionBy("range_id").orderBy(F.col("end") - F.col("start"), "start", "span_id")
     return hit.select("range_id", "span_id", F.row_number().over(order).alias("place"))
 
@@ -32,28 +41,113 @@ def first_existing(imports: DataFrame, candidates: Column, files: DataFrame) ->
     return each.join(files.select("path").distinct(), "path").groupBy("import_id").agg(F.min_by("path", "pos").alias("path"))
 
 
+def _joined(a: Column, b: Column) -> Column:
+    return F.when(a == "", b).when(b == "", a).otherwise(F.concat(a, F.lit("/"), b))
+
+
+def _climbed(base: Column, levels: Column) -> Column:
+    """A directory's ancestor so many levels up."""
+    parts = F.split(base, "/")
+    return F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - levels, F.lit(0))), "/")
+
+
 def python_candidates(importer: Column, specifier: Column) -> Column:
-    """Where a Python module may lie: beside the importer for relative imports, else from the root or src."""
+    """Where a Python module may lie: each dot after the first climbs a directory from the importer's; absolute ones start at the
+    root, src or the importer's directory."""
     base = F.regexp_replace(importer, "/?[^/]*$", "")
+    dots = F.length(F.regexp_extract(specifier, r"^(\.*)", 1))
     module = F.replace(F.regexp_replace(specifier, r"^\.+", ""), F.lit("."), F.lit("/"))
-    join = lambda a, b: F.when(a == "", b).otherwise(F.concat(a, F.lit("/"), b))
-    relative = specifier.startswith(".")
-    roots = F.when(relative, F.array(join(base, module))).otherwise(F.array(module, F.concat(F.lit("src/"), module), join(base, module)))
+    roots = F.when(dots > 0, F.array(_joined(_climbed(base, dots - 1), module))).otherwise(F.array(module, F.concat(F.lit("src/"), module), _joined(base, module)))
     return F.flatten(F.transform(roots, lambda r: F.array(F.concat(r, F.lit(".py")), F.concat(r, F.lit("/__init__.py")))))
 
 
+# Endings of script modules, in the order in which they are tried.
+SCRIPT_ENDS = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".d.ts", ".vue", ".svelte", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.mjs", "/index.vue", "/index.svelte"]
+
+
 def script_candidates(importer: Column, specifier: Column) -> Column:
     """Where a relative JavaScript or TypeScript import may lie: as written, with an extension, or as a directory's index."""
     base = F.regexp_replace(importer, "/?[^/]*$", "")
     parts = F.filter(F.split(F.concat(base, F.lit("/"), specifier), "/"), lambda p: (p != "") & (p != "."))
-    up = F.aggregate(parts, F.array().cast("array<string>"), lambda s, p: F.when((p == "..") & (F.size(s) > 0), F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(F.concat(s, F.array(p))))
+    up = F.aggregate(parts, F.array().cast("array<string>"), lambda s, p: F.when(p == "..", F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(F.concat(s, F.array(p))))
     path = F.array_join(up, "/")
-    ends = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".vue", ".svelte", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
-    return F.when(specifier.startswith("."), F.array(*[F.concat(path, F.lit(e)) for e in ends])).otherwise(F.array().cast("array<string>"))
+    return F.when(specifier.rlike(r"^(\.{1,2})?/"), F.array(*[F.concat(path, F.lit(e)) for e in SCRIPT_ENDS])).otherwise(F.array().cast("array<string>"))
+
+
+def rust_candidates(importer: Column, specifier: Column) -> Column:
+    """Where a Rust path may lie: from the crate's src, or for self and super from the importer's directory; the last part may be
+    an item of the module before it."""
+    parts = F.filter(F.split(specifier, "::"), lambda p: p != "")
+    head, base = F.element_at(parts, 1), F.regexp_replace(importer, "/?[^/]*$", "")
+    ups = F.size(F.filter(F.split(F.regexp_extract(specifier, r"^((?:super(?:::|$))*)", 1), "::"), lambda p: p == "super"))
+    here = F.when(head == "self", base).when(head == "super", _climbed(base, ups)).otherwise(F.lit("src"))
+    skip = F.when(head.isin("crate", "self"), 1).when(head == "super", ups).otherwise(0)
+    module = F.concat(F.filter(F.split(here, "/"), lambda p: p != ""), F.slice(parts, skip + 1, F.size(parts)))
+
+    def of(cut: int) -> Column:
+        joined = F.array_join(F.slice(module, F.lit(1), F.greatest(F.size(module) - cut, F.lit(0))), "/")
+        bare = F.when(joined.startswith("src/"), F.concat(F.substr(joined, F.lit(5)), F.lit(".rs"))).otherwise("")
+        return F.when(F.size(module) > cut, F.array(F.concat(joined, F.lit(".rs")), F.concat(joined, F.lit("/mod.rs")), bare)).otherwise(F.array().cast("array<string>"))
+
+    return F.when(F.size(parts) > 0, F.concat(of(0), of(1))).otherwise(F.array().cast("array<string>"))
+
+
+# Source roots and extensions of Java and Kotlin, in the order in which they are tried.
+JVM_ROOTS = ["", "src/main/java/", "src/main/kotlin/", "src/", "app/src/main/java/", "app/src/main/kotlin/", "src/commonMain/kotlin/", "java/", "kotlin/"]
+JVM_ENDS = [".java", ".kt"]
+
+
+def jvm_candidates(specifier: Column, imported_name: Column) -> Column:
+    """Where a Java or Kotlin class may lie; without its last part for imported members. A wildcard names a package, not a file."""
+    parts = F.filter(F.split(specifier, r"\."), lambda p: p != "")
+
+    def of(cut: int) -> Column:
+        joined = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - cut, F.lit(0))), "/")
+        return F.when(F.size(parts) > cut, F.array(*[F.concat(F.lit(r), joined, F.lit(e)) for r in JVM_ROOTS for e in JVM_ENDS])).otherwise(F.array().cast("array<string>"))
+
+    return F.when(imported_name.isNotNull(), F.concat(of(0), of(1))).otherwise(F.array().cast("array<string>"))
+
+
+def include_candidates(importer: Column, specifier: Column) -> Column:
+    """Where a C or C++ header may lie: beside the importer, then from the root, include and src."""
+    base = F.regexp_replace(importer, "/?[^/]*$", "")
+    return F.array(_joined(base, specifier), specifier, F.concat(F.lit("include/"), specifier), F.concat(F.lit("src/"), specifier))
+
+
+def import_candidates(family: Column, importer: Column, specifier: Column, imported_name: Column) -> Column:
+    """Candidate paths by the importer's language family."""
+    return (
+        F.when(family == "python", python_candidates(importer, specifier))
+        .when(family == "rust", rust_candidates(importer, F.when(imported_name.isNull(), specifier).otherwise(F.concat(specifier, F.lit("::"), imported_name))))
+        .when(family.isin("javascript", "typescript", "script", "vue", "svelte"), script_candidates(importer, specifier))
+        .when(family.isin("java", "kotlin", "jvm"), jvm_candidates(specifier, imported_name))
+        .when(family.isin("c", "cpp"), include_candidates(importer, specifier))
+        .otherwise(F.array().cast("array<string>"))
+    )
 
 
 def changed_ranges(old: DataFrame, new: DataFrame, content: str = "content") -> DataFrame:
-    """path, line, side of lines that differ between two snapshots by position: a line range source without a diff tool."""
-    split = lambda df, name: df.select("path", F.posexplode(F.split(content, "\n", -1)).alias("line", name))
-    both = split(old, "a").join(split(new, "b"), ["path", "line"], "full_outer").where(~F.col("a").eqNullSafe(F.col("b")))
-    return both.select("path", (F.col("line") + 1).alias("line"), F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "deleted").otherwise("changed").alias("change"))
+    """path, line, change of lines that differ between two snapshots. Files meet by their paths, and only those whose content differs
+    are compared: the longest common runs of lines stay, what is between them is changed as far as both sides have lines there,
+    else added or deleted. Lines are those of the new file, deleted ones those of the old."""
+    a, b = (df.select("path", F.col(content).alias(c), F.lit(True).alias(f"has_{c}")) for df, c in ((old, "a"), (new, "b")))
+    both = a.join(b, "path", "full_outer").where(~F.col("a").eqNullSafe(F.col("b")) | F.col("has_a").isNull() | F.col("has_b").isNull()).select("path", "a", "b")
+
+    def run(batches):
+        for rows in batches:
+            out = [(path, line, change) for path, x, y in zip(rows["path"], rows["a"], rows["b"], strict=True) for line, change in line_changes(x, y)]
+            yield pd.DataFrame({c: [o[i] for o in out] for i, c in enumerate(("path", "line", "change"))})
+
+    return both.mapInPandas(run, T.StructType([both.schema["path"], T.StructField("line", T.LongType()), T.StructField("change", T.StringType())]))
+
+
+def line_changes(old: str | None, new: str | None) -> Iterator[tuple[int, str]]:
+    """Line (from 1) and change of what differs."""
+    x, y = ([] if t is None else t.split("\n") for t in (old, new))
+    for tag, a, b, c, d in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+        if tag == "equal":
+            continue
+        both = min(b - a, d - c)
+        yield from ((c + i + 1, "changed") for i in range(both))
+        yield from ((i + 1, "added") for i in range(c + both, d))
+        yield from ((i + 1, "deleted") for i in range(a + both, b))

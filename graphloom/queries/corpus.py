@@ -78,7 +78,7 @@ def sync_status(spark, sf_dir):
     return _snapshots(spark, sf_dir)
 
 
-@add(_STATUS + " SELECT count(*) AS scanned, " + ", ".join(f"count_if(status = '{n}') AS {n}" for n in ("added", "changed", "unchanged", "removed", "out_of_scope")) + " FROM s")
+@add(_STATUS + " SELECT count_if(status IN ('added', 'changed', 'unchanged')) AS scanned, " + ", ".join(f"count_if(status = '{n}') AS {n}" for n in ("added", "changed", "unchanged", "removed", "out_of_scope")) + " FROM s")
 def sync_counts(spark, sf_dir):
     return ingest.sync_counts(_snapshots(spark, sf_dir))
 
@@ -135,22 +135,22 @@ def name_substring(spark, sf_dir):
     return search.ranked(got, "inexact", F.length("name"), "name", "path", "line", "id", limit=25)
 
 
-@add(f"""WITH s AS ({SYMBOLS_SQL}), d AS (SELECT id, name, path, line, levenshtein(lower(name), 'smal ring') AS distance, greatest(strlen(name), 9) AS m, lower(name) LIKE '%smal ring%' OR contains('smal ring', lower(name)) AS c FROM s)
+@add(f"""WITH s AS ({SYMBOLS_SQL}), d AS (SELECT id, name, path, line, levenshtein(lower(name), 'smal ring') AS distance, greatest(strlen(name), 9) AS m, lower(name) LIKE '%smal ring%' AS c FROM s)
 SELECT id, name, path, line, distance FROM d WHERE (abs(length(name) - 9) <= greatest(3, floor(m * 2 / 5)) OR c) AND (distance <= 3 OR (m > 4 AND distance <= floor(m * 2 / 5)) OR c) ORDER BY distance, name, path, line, id LIMIT 50""")
 def fuzzy_names(spark, sf_dir):
     got = search.fuzzy_search(symbols(spark, sf_dir), "smal ring").select("id", "name", "path", "line", F.col("distance").cast("long").alias("distance"))
     return search.ranked(got, "distance", "name", "path", "line", "id", limit=50)
 
 
-@add("SELECT conv_id, turn, CASE WHEN text = 'the' THEN 0 ELSE 1 END AS inexact FROM conversations WHERE contains(lower(text), 'the') ORDER BY inexact, length(text), conv_id, turn LIMIT 40")
+@add("SELECT conv_id, turn, CASE WHEN text = 'the' THEN 0 ELSE 1 END AS inexact FROM conversations WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'the') ORDER BY inexact, length(text), conv_id, turn LIMIT 40")
 def string_lookup(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("value"))
     return search.ranked(search.literal_search(c, "the"), "inexact", F.length("value"), "conv_id", "turn", limit=40).select("conv_id", "turn", "inexact")
 
 
-@add("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents),
-h AS (SELECT doc_id, line, raw, CAST(contains(lower(raw), 'thing ouer') AS INT) AS "full", CAST(contains(lower(raw), 'thing') AS INT) + CAST(contains(lower(raw), 'ouer') AS INT) AS coverage FROM l)
-SELECT doc_id, line, sha256(trim(raw, ' ')) AS snippet, "full", coverage FROM h WHERE "full" = 1 OR coverage > 0 ORDER BY "full" DESC, coverage DESC, doc_id, line LIMIT 60""")
+@add(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents),
+h AS (SELECT doc_id, line, raw, CAST(contains(lower(raw), 'thing ouer') AS INT) AS "full", len(list_intersect({terms_sql('raw')}, ['ouer', 'thing']))::INT AS coverage FROM l)
+SELECT doc_id, line, sha256(regexp_replace(raw, '^[\\t-\\r\\p{{Z}}]+|[\\t-\\r\\p{{Z}}]+$', '', 'g')) AS snippet, "full", coverage FROM h WHERE "full" = 1 OR coverage > 0 ORDER BY "full" DESC, coverage DESC, doc_id, line LIMIT 60""")
 def grep_lines(spark, sf_dir):
     got = search.grep(table(spark, sf_dir, "documents").select("doc_id", "text"), "thing ouer")
     top = search.ranked(got, F.desc("full"), F.desc("coverage"), "doc_id", "line", limit=60)
@@ -324,9 +324,13 @@ def index_status(spark, sf_dir):
     return ingest.index_coverage(h, c)
 
 
-@add("SELECT vec_id, CASE WHEN s < 0.0 THEN 'empty' WHEN s < 0.1 THEN 'weak' ELSE 'candidate' END AS quality FROM (SELECT vec_id, embedding[1]::DOUBLE AS s FROM embeddings)")
+@add("SELECT label, CASE WHEN count(s) FILTER (s > 0) = 0 THEN 'empty' WHEN max(s) FILTER (s > 0) < 0.25 THEN 'weak' ELSE 'candidate' END AS quality FROM (SELECT label, embedding[1]::DOUBLE AS s FROM embeddings) GROUP BY label")
 def quality_labels(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", retrieval.quality(F.col("embedding")[0].cast("double"), 0.0, 0.1).alias("quality"))
+    """Each label is a query; its hits are the vectors whose first component is positive, which is their relevance."""
+    s = F.col("embedding")[0].cast("double")
+    hit = F.when(s > 0, s)
+    answers = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count(hit).alias("hits"), F.max(hit).alias("best"))
+    return answers.select("label", retrieval.quality(F.col("hits"), F.col("best"), 0.25).alias("quality"))
 
 
 @add(f"WITH f AS ({FILES_SQL}) SELECT CASE regexp_extract(path, '\\.([^./]*)$', 1) WHEN 'py' THEN 'python' WHEN 'rs' THEN 'rust' WHEN 'js' THEN 'javascript' WHEN 'toml' THEN 'toml' END AS family, count(*) AS files, sum(len(string_split(content, chr(10))))::BIGINT AS line_count FROM f GROUP BY 1")

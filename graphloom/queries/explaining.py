@@ -16,7 +16,7 @@ add = registry.add
 QUERIES, ORACLE = registry.QUERIES, registry.ORACLE
 
 
-@add(f"WITH s AS ({SYMBOLS_SQL}) SELECT id, name FROM s WHERE name = 'small ring' OR owner || '::' || name = 'small ring' OR path = 'small ring' OR path LIKE '%/small ring'")
+@add(f"WITH s AS ({SYMBOLS_SQL}) SELECT id, name FROM s WHERE name = 'small ring' OR owner || '::' || name = 'small ring' OR path = 'small ring' OR path LIKE '%small ring'")
 def find_targets(spark, sf_dir):
     s = symbols(spark, sf_dir).withColumns({"label": F.col("name"), "qualified": F.concat("owner", F.lit("::"), "name"), "key": F.col("id"), "id": F.col("id").cast("string")})
     return explain.find_targets(s, "small ring").select(F.col("key").alias("id"), "name")
@@ -39,11 +39,11 @@ def risk(spark, sf_dir):
     return e.select("event_id", got.alias("risky"))
 
 
-@add(f"""WITH f AS ({FILES_SQL}) SELECT path, 1 + file_id % 3 AS line, sha256(coalesce(trim(string_split(content, chr(10))[1 + file_id % 3], ' '), '')) AS snippet FROM f""")
+@add(f"""WITH f AS ({FILES_SQL}) SELECT path, 1 + file_id % 3 AS line, sha256(nullif(regexp_replace(string_split(content, chr(10))[1 + file_id % 3], '^[\\t-\\r\\p{{Z}}]+|[\\t-\\r\\p{{Z}}]+$', '', 'g'), '')) AS snippet FROM f""")
 def edge_snippets(spark, sf_dir):
     f = files(spark, sf_dir)
     e = f.select("path", (1 + F.col("file_id") % 3).alias("line"))
-    return explain.snippets(e, f).select("path", "line", F.sha2(F.coalesce("snippet", F.lit("")).cast("binary"), 256).alias("snippet"))
+    return explain.snippets(e, f).select("path", "line", F.sha2(F.col("snippet").cast("binary"), 256).alias("snippet"))
 
 
 @add(_MEMBERS + ", u AS (SELECT ca AS community, weight AS internal, 0 AS external FROM c WHERE ca = cb UNION ALL SELECT ca, 0, weight FROM c WHERE ca <> cb UNION ALL SELECT cb, 0, weight FROM c WHERE ca <> cb), t AS (SELECT community, sum(internal)::BIGINT AS internal, sum(external)::BIGINT AS external FROM u GROUP BY community), z AS (SELECT community, count(*) AS size FROM m GROUP BY community) SELECT community, size, internal, external, round(internal::DOUBLE / (internal + external), 2) AS cohesion FROM t JOIN z USING (community)")

@@ -80,10 +80,12 @@ def collapse_files(spark, sf_dir):
     return graph.collapsed(edges(spark, sf_dir), _owners(spark, sf_dir))
 
 
-@add(_E + f", n AS ({_PARTS} UNION ALL SELECT 'file:a', 'a', 'file', 'a', false), d AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY id), r AS (SELECT n.*, row_number() OVER (ORDER BY coalesce(degree, 0) DESC, n.id) AS k FROM n LEFT JOIN d USING (id) WHERE kind <> 'file') SELECT id FROM r WHERE k <= 99 UNION ALL SELECT id FROM n WHERE kind = 'file'")
+@add(_E + f", n AS ({_PARTS} UNION ALL SELECT 'file:a', 'a', 'file', 'a', false), d AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY id), r AS (SELECT n.*, row_number() OVER (ORDER BY coalesce(degree, 0) DESC, n.id DESC) AS k FROM n LEFT JOIN d USING (id) WHERE kind <> 'file'), kept AS (SELECT id FROM r WHERE k <= 99 UNION ALL SELECT id FROM n WHERE kind = 'file'), gone AS (SELECT id FROM r WHERE k > 99) SELECT id, (SELECT count(*) FROM e WHERE target = id AND source NOT IN (SELECT id FROM gone)) AS edges FROM kept")
 def node_cap(spark, sf_dir):
     one = spark.range(1).select(F.lit("file:a").alias("id"), F.lit("a").alias("label"), F.lit("file").alias("kind"), F.lit("a").alias("path"), F.lit(False).alias("exported"))
-    return graph.capped(_part_nodes(spark, sf_dir).unionByName(one), edges(spark, sf_dir), 100).select("id")
+    nodes, links = graph.capped(_part_nodes(spark, sf_dir).unionByName(one), edges(spark, sf_dir), 100)
+    held = links.groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("edges"))
+    return nodes.join(held, "id", "left").select("id", F.coalesce("edges", F.lit(0)).alias("edges"))
 
 
 @add("""WITH p AS (SELECT DISTINCT regexp_replace(regexp_extract(url, '://([^?#]*)', 1), '/$', '') AS path FROM pages), s AS (SELECT path, string_split(path, '/') AS parts FROM p), x AS (SELECT path, parts, unnest(range(2, len(parts) + 1)) AS n FROM s)
@@ -167,7 +169,7 @@ def focus_khop(spark, sf_dir):
     return traverse.reach(_hierarchy(spark, sf_dir), spark.sql("SELECT 'r:1' AS node"), 2)
 
 
-_TREE = """WITH RECURSIVE e AS (SELECT DISTINCT 'n:' || c.c_nationkey AS source, 'n:' || s.s_nationkey AS target FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer c ON o_custkey = c_custkey JOIN supplier s ON l_suppkey = s_suppkey WHERE l_quantity > 45 AND o_orderkey % 20 = 0),
+_TREE = """WITH RECURSIVE e AS (SELECT DISTINCT 'n:' || c.c_nationkey AS source, 'n:' || s.s_nationkey AS target FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer c ON o_custkey = c_custkey JOIN supplier s ON l_suppkey = s_suppkey),
 w AS (SELECT target AS node, ['n:1', target] AS path, 1 AS level FROM e WHERE source = 'n:1' AND target <> 'n:1' UNION ALL SELECT e.target, list_append(w.path, e.target), level + 1 FROM w JOIN e ON w.node = e.source WHERE level < 3 AND NOT list_contains(w.path, e.target))"""
 
 

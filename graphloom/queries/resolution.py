@@ -29,7 +29,7 @@ def innermost_interval(spark, sf_dir):
     return intervals.innermost(p, _spans(spark, sf_dir), bucket=16)
 
 
-@add(f"""WITH s AS ({_SPANS}), r AS (SELECT o_orderkey AS range_id, o_orderkey AS file_id, 20 + o_custkey % 30 AS lo, 22 + o_custkey % 30 AS hi FROM orders WHERE o_orderkey % 5 = 0)
+@add(f"""WITH s AS ({_SPANS}), r AS (SELECT o_orderkey AS range_id, o_orderkey AS file_id, 20 + o_custkey % 30 AS lo, 22 + o_custkey % 30 AS hi FROM orders)
 SELECT range_id, span_id, CAST(row_number() OVER (PARTITION BY range_id ORDER BY "end" - "start", "start", span_id) AS INT) AS place FROM r JOIN s USING (file_id) WHERE lo <= "end" AND hi >= "start\"""")
 def overlap_join(spark, sf_dir):
     r = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("range_id"), F.col("o_orderkey").alias("file_id"), (20 + F.col("o_custkey") % 30).alias("lo"), (22 + F.col("o_custkey") % 30).alias("hi"))
@@ -45,43 +45,51 @@ def import_candidates(spark, sf_dir):
     return intervals.first_existing(i, intervals.python_candidates(F.col("importer"), F.col("specifier")), known)
 
 
-# A reference for each order: a part's name is used from the customer's package. Spark takes every order and goes round all
-# parts (keys from 0); the SQL still has a fifth of the orders and 150 parts.
-_RS = """x AS (SELECT o_orderkey AS k, o_orderkey % 7 + 1 AS n, o_custkey AS c, 1 + o_custkey % 150 AS part FROM orders WHERE o_orderkey % 5 = 0),
-r AS (SELECT k AS ref_id, p_name AS name, CASE WHEN n % 3 = 0 THEN 'type' ELSE 'call' END AS ref_kind, CASE WHEN n % 4 = 0 THEN 'value' ELSE 'none' END AS receiver_kind, CASE WHEN n % 4 = 0 AND k % 2 = 0 THEN p_brand END AS receiver_type, p_brand AS owner, 'pkg' || (c % 5) AS package,
- 'f' || (c % 11) AS file, 'java' AS family, c % 4 AS arg_count, k % 11 = 10 AS local_only FROM x JOIN part ON part = p_partkey),
-s AS (SELECT p_partkey AS symbol_id, p_name AS name, p_brand || '.' || p_name AS qualified, CASE p_size % 4 WHEN 0 THEN 'method' WHEN 1 THEN 'class' WHEN 2 THEN 'function' ELSE 'constructor' END AS kind, p_brand AS owner, 'pkg' || (p_partkey % 5) AS package, 'f' || (p_partkey % 11) AS path, 'java' AS family, p_size % 2 = 0 AS exported, p_size % 4 AS params, p_size AS start_byte FROM part)"""
+# A reference for each order: a part's name is used from the customer's package. Orders go round all parts (keys from 0). Some
+# orders are bound to the part by scope or import, some through a module, and some files are reachable.
+_RS = """x AS (SELECT o_orderkey AS k, o_orderkey % 7 + 1 AS n, o_custkey AS c, o_orderkey % (SELECT count(*) FROM part) AS part FROM orders),
+r AS (SELECT k AS ref_id, p_name AS name, CASE WHEN n % 3 = 0 THEN 'type' ELSE 'call' END AS ref_kind, CASE WHEN n % 4 = 0 THEN 'value' WHEN n = 5 THEN 'path' ELSE 'none' END AS receiver_kind, CASE WHEN n = 5 THEN 'mod' WHEN n % 4 = 0 THEN 'it' END AS receiver,
+ CASE WHEN n % 4 = 0 AND k % 2 = 0 THEN p_brand END AS receiver_type, p_brand AS owner, 'pkg' || (c % 5) AS package, 'f' || (c % 11) AS file, 'java' AS family, c % 4 AS arg_count, k % 11 = 10 AS local_only,
+ CASE WHEN k % 17 = 0 THEN p_partkey END AS scope_target, CASE WHEN k % 13 = 3 THEN p_partkey END AS import_target, CASE WHEN n = 5 THEN 'f' || (k % 11) END AS namespace, 'f' || (c % 3) AS reachable FROM x JOIN part ON part = p_partkey),
+s AS (SELECT p_partkey AS symbol_id, p_name AS name, p_brand || '.' || p_name AS qualified, CASE p_size % 4 WHEN 0 THEN 'method' WHEN 1 THEN 'class' WHEN 2 THEN 'function' ELSE 'constructor' END AS kind, p_brand AS owner, 'pkg' || (p_partkey % 5) AS package, 'f' || (p_partkey % 11) AS path, 'java' AS family, p_size % 2 = 0 AS exported, p_size % 4 AS params, p_size AS start_byte,
+ CASE WHEN p_size % 7 = 0 THEN 'private' WHEN p_size % 7 = 1 THEN 'package' ELSE 'public' END AS visibility FROM part)"""
 
 
 def _refs(spark, sf_dir):
     parts = table(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("parts"))
     o = table(spark, sf_dir, "orders").join(F.broadcast(parts), F.lit(True)).select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 7 + 1).alias("n"), F.col("o_custkey").alias("c"), (F.col("o_orderkey") % F.col("parts")).alias("p_partkey"))
     x = o.join(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"), "p_partkey")
-    n, k, none, empty = F.col("n"), F.col("k"), F.lit(None).cast("string"), F.array().cast("array<string>")
+    n, k, c, none, empty = F.col("n"), F.col("k"), F.col("c"), F.lit(None).cast("string"), F.array().cast("array<string>")
+    some = lambda when, value: F.array_compact(F.array(F.when(when, value)))
+    name = lambda p, v: F.concat(F.lit(p), v.cast("string"))
     return x.select(
-        k.alias("ref_id"), F.col("p_name").alias("name"), F.when(n % 3 == 0, "type").otherwise("call").alias("ref_kind"), F.when(n % 4 == 0, "value").otherwise("none").alias("receiver_kind"), none.alias("receiver"),
-        F.when((n % 4 == 0) & (k % 2 == 0), F.col("p_brand")).alias("receiver_type"), empty.alias("receiver_bases"), F.col("p_brand").alias("owner"), F.concat(F.lit("pkg"), (F.col("c") % 5).cast("string")).alias("package"), F.concat(F.lit("f"), (F.col("c") % 11).cast("string")).alias("file"),
-        F.lit("java").alias("family"), (F.col("c") % 4).alias("arg_count"), (k % 11 == 10).alias("local_only"), F.lit(None).cast("long").alias("scope_target"), F.array().cast("array<bigint>").alias("import_targets"), empty.alias("namespaces"), empty.alias("reachable"),
-        none.alias("precise_status"), F.lit(None).cast("long").alias("precise_target"), F.lit(None).cast("double").alias("precise_confidence"),
+        k.alias("ref_id"), F.col("p_name").alias("name"), F.when(n % 3 == 0, "type").otherwise("call").alias("ref_kind"), F.when(n % 4 == 0, "value").when(n == 5, "path").otherwise("none").alias("receiver_kind"), F.when(n == 5, "mod").when(n % 4 == 0, "it").alias("receiver"),
+        F.when((n % 4 == 0) & (k % 2 == 0), F.col("p_brand")).alias("receiver_type"), empty.alias("receiver_bases"), F.col("p_brand").alias("owner"), name("pkg", c % 5).alias("package"), name("f", c % 11).alias("file"),
+        F.lit("java").alias("family"), (c % 4).alias("arg_count"), (k % 11 == 10).alias("local_only"), F.when(k % 17 == 0, F.col("p_partkey")).alias("scope_target"), some(k % 13 == 3, F.col("p_partkey")).alias("import_targets"),
+        some(n == 5, name("f", k % 11)).alias("namespaces"), F.array(name("f", c % 3)).alias("reachable"), none.alias("precise_status"), F.lit(None).cast("long").alias("precise_target"), F.lit(None).cast("double").alias("precise_confidence"),
     )
 
 
 def _symbols(spark, sf_dir):
-    p, k = table(spark, sf_dir, "part"), F.col("p_size") % 4
+    p, k, v = table(spark, sf_dir, "part"), F.col("p_size") % 4, F.col("p_size") % 7
     return p.select(
         F.col("p_partkey").alias("symbol_id"), F.col("p_name").alias("name"), F.concat("p_brand", F.lit("."), "p_name").alias("qualified"), F.when(k == 0, "method").when(k == 1, "class").when(k == 2, "function").otherwise("constructor").alias("kind"), F.col("p_brand").alias("owner"),
         F.concat(F.lit("pkg"), (F.col("p_partkey") % 5).cast("string")).alias("package"), F.concat(F.lit("f"), (F.col("p_partkey") % 11).cast("string")).alias("path"), F.lit("java").alias("family"), (F.col("p_size") % 2 == 0).alias("exported"), k.alias("params"), F.col("p_size").alias("start_byte"),
+        F.when(v == 0, "private").when(v == 1, "package").otherwise("public").alias("visibility"),
     )
 
 
-_SCORED = f"""WITH {_RS}, c AS (SELECT r.*, s.symbol_id, s.qualified, s.path, s.start_byte,
- CASE WHEN s.kind = 'constructor' THEN 5 ELSE 0 END + CASE WHEN r.receiver_type = s.owner THEN 80 ELSE 0 END + CASE WHEN r.owner = s.owner THEN 35 ELSE 0 END + CASE WHEN r.package = s.package THEN 10 ELSE 0 END + CASE WHEN r.file = s.path THEN 15 ELSE 0 END + CASE WHEN r.arg_count = s.params THEN 3 ELSE 0 END + CASE WHEN s.exported THEN 1 ELSE 0 END AS score,
- CASE WHEN r.receiver_type = s.owner THEN 'receiver' WHEN r.owner = s.owner THEN 'owner' ELSE 'heuristic' END AS evidence
- FROM r JOIN s USING (name, family) WHERE NOT local_only AND NOT (ref_kind = 'type' AND kind <> 'class') AND NOT (ref_kind = 'call' AND kind IN ('method', 'function', 'constructor') AND arg_count <> params) AND NOT (receiver_kind = 'value' AND receiver_type IS NOT NULL AND receiver_type <> s.owner)),
-p AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY score DESC, qualified, path, start_byte, symbol_id) AS place, lead(score) OVER (PARTITION BY ref_id ORDER BY score DESC, qualified, path, start_byte, symbol_id) AS next, max(score) OVER (PARTITION BY ref_id) AS top FROM c),
-b AS (SELECT ref_id, symbol_id AS target, score, evidence, (receiver_kind = 'value' AND receiver_type IS NULL) OR coalesce(score - next < 5, false) AS ambiguous FROM p WHERE place = 1),
-a AS (SELECT ref_id, list(symbol_id ORDER BY place) FILTER (place <= 4) AS alternatives, count(*) AS n FROM p WHERE place > 1 AND top - score < 5 GROUP BY ref_id)
-SELECT b.*, CASE WHEN ambiguous THEN 0.35 WHEN evidence = 'receiver' THEN 0.85 WHEN evidence = 'owner' THEN 0.8 ELSE 0.6 END::DOUBLE AS confidence, coalesce(alternatives, []) AS alternatives, coalesce(n - len(alternatives), 0) AS omitted FROM b LEFT JOIN a USING (ref_id)"""
+_SCORED = f"""WITH {_RS}, c AS (SELECT r.*, s.symbol_id, s.qualified, s.path, s.start_byte, coalesce(namespace = s.path, false) AS module, coalesce(scope_target = symbol_id, false) AS scoped, coalesce(import_target = symbol_id, false) AS imported,
+ CASE WHEN s.kind = 'constructor' THEN 5 ELSE 0 END + CASE WHEN scope_target = symbol_id THEN 100 ELSE 0 END + CASE WHEN import_target = symbol_id THEN 60 ELSE 0 END + CASE WHEN namespace = s.path THEN 60 ELSE 0 END + CASE WHEN reachable = s.path THEN 10 ELSE 0 END
+ + CASE WHEN r.receiver_type = s.owner THEN 80 ELSE 0 END + CASE WHEN r.owner = s.owner THEN 35 ELSE 0 END + CASE WHEN r.package = s.package THEN 10 ELSE 0 END + CASE WHEN r.file = s.path THEN 15 ELSE 0 END + CASE WHEN r.arg_count = s.params THEN 3 ELSE 0 END + CASE WHEN s.exported THEN 1 ELSE 0 END AS score,
+ CASE WHEN scoped THEN 'scope' WHEN module THEN 'import' WHEN r.receiver_type = s.owner THEN 'receiver' WHEN imported THEN 'import' WHEN r.owner = s.owner THEN 'owner' ELSE 'heuristic' END AS evidence
+ FROM r JOIN s USING (name, family) WHERE NOT local_only AND NOT (ref_kind = 'type' AND kind <> 'class') AND NOT (kind IN ('method', 'function', 'constructor') AND arg_count <> params) AND NOT (receiver_kind = 'value' AND receiver_type IS NOT NULL AND receiver_type <> s.owner)
+ AND CASE s.visibility WHEN 'private' THEN r.file = s.path AND r.owner = s.owner WHEN 'package' THEN r.package = s.package ELSE true END),
+o AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY score DESC, qualified, path, start_byte, symbol_id) AS place, lead(score) OVER (PARTITION BY ref_id ORDER BY score DESC, qualified, path, start_byte, symbol_id) AS next, max(score) OVER (PARTITION BY ref_id) AS top FROM c),
+p AS (SELECT *, bool_or(place = 1 AND receiver_kind = 'value' AND receiver_type IS NULL AND evidence <> 'import') OVER (PARTITION BY ref_id) AS open FROM o),
+b AS (SELECT ref_id, symbol_id AS target, score, evidence, open OR coalesce(score - next < 5, false) AS ambiguous FROM p WHERE place = 1),
+a AS (SELECT ref_id, list(symbol_id ORDER BY place) FILTER (place <= 4) AS alternatives, count(*) AS n FROM p WHERE place > 1 AND (open OR top - score < 5) GROUP BY ref_id)
+SELECT b.*, CASE WHEN ambiguous THEN 0.35 WHEN evidence = 'scope' THEN 0.95 WHEN evidence = 'import' THEN 0.9 WHEN evidence = 'receiver' THEN 0.85 WHEN evidence = 'owner' THEN 0.8 ELSE 0.6 END::DOUBLE AS confidence, coalesce(alternatives, []) AS alternatives, coalesce(n - len(alternatives), 0) AS omitted FROM b LEFT JOIN a USING (ref_id)"""
 
 
 @add(_SCORED)
@@ -89,12 +97,13 @@ def scored_resolution(spark, sf_dir):
     return resolve.resolved(_refs(spark, sf_dir), _symbols(spark, sf_dir))
 
 
-@add("""WITH l AS (SELECT s_suppkey AS id, s_nationkey AS k, s_acctbal FROM supplier), r AS (SELECT c_custkey AS m, c_nationkey AS k, c_mktsegment FROM customer WHERE c_custkey % 20 = 0), b AS (SELECT id, m, (c_mktsegment = 'BUILDING') AS good, max(c_mktsegment = 'BUILDING') OVER (PARTITION BY id) AS any_good FROM l JOIN r USING (k))
+@add("""WITH l AS (SELECT s_suppkey AS id, s_nationkey AS k, floor(s_acctbal / 1000) AS b FROM supplier), r AS (SELECT c_custkey AS m, c_nationkey AS k, floor(c_acctbal / 1000) AS b, c_mktsegment FROM customer), b AS (SELECT id, m, (c_mktsegment = 'BUILDING') AS good, max(c_mktsegment = 'BUILDING') OVER (PARTITION BY id) AS any_good FROM l JOIN r USING (k, b))
 SELECT id, min(m) AS "match" FROM b WHERE good = any_good GROUP BY id HAVING count(DISTINCT m) = 1""")
 def unique_match(spark, sf_dir):
-    left = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("k"))
-    right = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("k"), "c_mktsegment")
-    return resolve.unique_matches(left, right, ["k"], prefer=F.col("c_mktsegment") == "BUILDING")
+    thousands = lambda c: F.floor(F.col(c) / 1000).alias("b")
+    left = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("k"), thousands("s_acctbal"))
+    right = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("k"), thousands("c_acctbal"), "c_mktsegment")
+    return resolve.unique_matches(left, right, ["k", "b"], prefer=F.col("c_mktsegment") == "BUILDING")
 
 
 @add("""SELECT a.p_partkey AS id, b.p_partkey AS base FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_size = b.p_size AND a.p_brand <> b.p_brand AND a.p_type = b.p_type""")
@@ -106,16 +115,17 @@ def override_match(spark, sf_dir):
     return both.select(F.col("a.p_partkey").alias("id"), F.col("b.p_partkey").alias("base"))
 
 
-@add(f"""WITH o AS (SELECT doc_id AS path, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents), n AS (SELECT doc_id AS path, unnest(string_split(x, chr(10))) AS t, unnest(range(1, len(string_split(x, chr(10))) + 1)) AS line FROM (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN text || chr(10) || 'new' WHEN doc_id % 13 = 0 THEN '!' || text ELSE text END AS x FROM documents))
-SELECT coalesce(o.path, n.path) AS path, coalesce(o.line, n.line) AS line, CASE WHEN o.t IS NULL THEN 'added' WHEN n.t IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.path = n.path AND o.line = n.line WHERE o.t IS DISTINCT FROM n.t""")
+@add("""SELECT doc_id AS path, CASE WHEN doc_id % 9 = 0 THEN len(string_split(text, chr(10))) + 1 ELSE 1 END AS line, CASE WHEN doc_id % 9 = 0 OR doc_id % 13 = 0 THEN 'added' ELSE 'deleted' END AS change FROM documents
+WHERE doc_id % 9 = 0 OR doc_id % 13 = 0 OR (doc_id % 7 = 1 AND contains(text, chr(10)))""")
 def diff_lines(spark, sf_dir):
+    """Some documents get a last line, some a first one, and some lose their first."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
-    edited = F.when(F.col("path") % 9 == 0, F.concat("content", F.lit("\nnew"))).when(F.col("path") % 13 == 0, F.concat(F.lit("!"), "content")).otherwise(F.col("content"))
-    got = intervals.changed_ranges(d, d.withColumn("content", edited))
-    return got.select("path", F.col("line").cast("long").alias("line"), "change")
+    less = F.regexp_replace("content", r"^[^\n]*\n", "")
+    edited = F.when(F.col("path") % 9 == 0, F.concat("content", F.lit("\nnew"))).when(F.col("path") % 13 == 0, F.concat(F.lit("new\n"), "content")).when(F.col("path") % 7 == 1, less).otherwise(F.col("content"))
+    return intervals.changed_ranges(d, d.withColumn("content", edited))
 
 
-_DIFF = f"""WITH s AS ({_SPANS}), r AS (SELECT o_orderkey AS file_id, 20 + o_custkey % 30 AS lo, 22 + o_custkey % 30 AS hi FROM orders WHERE o_orderkey % 25 = 0), t AS (SELECT DISTINCT span_id FROM r JOIN s USING (file_id) WHERE lo <= "end" AND hi >= "start"),
+_DIFF = f"""WITH s AS ({_SPANS}), r AS (SELECT o_orderkey AS file_id, 20 + o_custkey % 30 AS lo, 22 + o_custkey % 30 AS hi FROM orders), t AS (SELECT DISTINCT span_id FROM r JOIN s USING (file_id) WHERE lo <= "end" AND hi >= "start"),
 e AS (SELECT l_orderkey * 10 + l_linenumber AS source, l_orderkey * 10 + l_linenumber + 1 AS target FROM lineitem), k AS (SELECT span_id, count(target) AS affected FROM t LEFT JOIN e ON source = span_id AND target IN (SELECT span_id FROM s) GROUP BY span_id)"""
 
 
@@ -148,13 +158,14 @@ def verify_policy(spark, sf_dir):
     return resolve.decisions(rows)
 
 
-@add("""SELECT user_id AS ref_id, CASE WHEN count(t) = 0 THEN 'unresolved' WHEN count_if(own) = 0 THEN 'external' WHEN count(DISTINCT s) > 1 THEN 'ambiguous' WHEN count(DISTINCT s) = 0 THEN 'nonode' ELSE 'hit' END AS status, CASE WHEN count(t) > 0 AND count_if(own) > 0 AND count(DISTINCT s) = 1 THEN min(s) END AS symbol_id
-FROM (SELECT user_id, CASE WHEN event_type <> 'view' THEN event_type END AS t, event_id % 40 = 0 AS own, CASE WHEN event_id % 40 = 0 AND event_id % 80 = 0 THEN user_id % 3 + event_id % 160 END AS s FROM events) GROUP BY user_id""")
+@add("""WITH t AS (SELECT DISTINCT l_orderkey, CAST(l_suppkey AS VARCHAR) AS path, l_linenumber % 2 AS place, l_suppkey % 3 > 0 AS own, CASE WHEN l_partkey % 4 > 0 THEN l_partkey END AS s FROM lineitem WHERE l_quantity >= 45),
+n AS (SELECT l_orderkey, count(DISTINCT path || '#' || place) AS n, bool_or(own) AS own, count(DISTINCT s) AS k, min(s) AS s FROM t GROUP BY l_orderkey)
+SELECT o_orderkey AS ref_id, CASE WHEN n IS NULL THEN 'unresolved' WHEN n > 1 THEN 'ambiguous' WHEN k = 0 AND NOT own THEN 'external' WHEN k = 0 THEN 'nonode' WHEN k = 1 THEN 'hit' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 AND k = 1 THEN s END AS symbol_id FROM orders LEFT JOIN n ON o_orderkey = l_orderkey""")
 def answer_status(spark, sf_dir):
-    i = F.col("event_id")
-    own = i % 40 == 0
-    t = table(spark, sf_dir, "events").select(F.col("user_id").alias("ref_id"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("target_path"), own.alias("in_project"), F.when(own & (i % 80 == 0), F.col("user_id") % 3 + i % 160).alias("symbol_id"))
-    return resolve.answer_status(t)
+    """The dear lines of an order are the answers for it; parts are symbols, where they are known."""
+    x = table(spark, sf_dir, "lineitem").where("l_quantity >= 45")
+    t = x.select(F.col("l_orderkey").alias("ref_id"), F.col("l_suppkey").cast("string").alias("target_path"), (F.col("l_linenumber") % 2).alias("target_at"), (F.col("l_suppkey") % 3 > 0).alias("in_project"), F.when(F.col("l_partkey") % 4 > 0, F.col("l_partkey")).alias("symbol_id"))
+    return resolve.answer_status(t, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ref_id")))
 
 
 @add("""WITH p AS (SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE p_name LIKE 'small%'), f AS (SELECT * FROM p WHERE p_partkey % 2 = 0), t AS (SELECT * FROM p WHERE p_partkey % 2 = 1)
@@ -171,13 +182,16 @@ def pair_proximity(spark, sf_dir):
     return near.unionByName(far).orderBy(F.desc("proximity"), "a", "b").limit(5)
 
 
-@add("""WITH h AS (SELECT p_partkey AS "key" FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 30), r AS (SELECT l_partkey AS "key", l_orderkey * 10 + l_linenumber AS node, 1 - l_discount AS confidence, l_returnflag || l_linestatus AS t FROM lineitem JOIN h ON l_partkey = "key"),
-k AS (SELECT *, row_number() OVER (PARTITION BY "key" ORDER BY confidence DESC, node) AS k FROM r), o AS (SELECT "key", node, CAST(contains(t, 'A') AS INT) + CAST(contains(t, 'F') AS INT) AS overlap, confidence FROM k WHERE k <= 50)
-SELECT "key", node, overlap, place FROM (SELECT *, row_number() OVER (PARTITION BY "key" ORDER BY overlap DESC, confidence DESC, node) AS place FROM o) WHERE place <= 3""")
+@add("""WITH h AS (SELECT p_partkey AS "key" FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 30), r AS (SELECT l_partkey AS "key", l_suppkey AS node, 1 - l_discount AS confidence, l_orderkey * 10 + l_linenumber AS ordinal FROM lineitem JOIN h ON l_partkey = "key"),
+o AS (SELECT "key", node, min_by(confidence, (ordinal, confidence)) AS confidence, min(ordinal) AS ordinal FROM r GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY "key" ORDER BY ordinal, node) AS k FROM o),
+t AS (SELECT "key", node, confidence, CAST(s_suppkey % 2 = 0 AS INT) + CAST(s_nationkey % 3 = 0 AS INT) AS overlap FROM k JOIN supplier ON node = s_suppkey WHERE k <= 50)
+SELECT "key", node, overlap, place FROM (SELECT *, row_number() OVER (PARTITION BY "key" ORDER BY overlap DESC, confidence DESC, node) AS place FROM t) WHERE place <= 3""")
 def supports_topk(spark, sf_dir):
     h = table(spark, sf_dir, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(30).select(F.col("p_partkey").alias("key"))
-    r = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("node"), (1 - F.col("l_discount")).alias("confidence"), F.concat("l_returnflag", "l_linestatus").alias("t"))
-    return retrieval.supports(h, r, ["A", "F"], F.col("t")).select("key", "node", "overlap", F.col("place").cast("long").alias("place"))
+    words = F.concat(F.when(F.col("s_suppkey") % 2 == 0, "readFile ").otherwise("readers "), F.when(F.col("s_nationkey") % 3 == 0, "the_path").otherwise("pathway"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), words.alias("text"))
+    r = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"), F.col("l_suppkey").alias("node"), (1 - F.col("l_discount")).alias("confidence"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"))
+    return retrieval.supports(h, r, s, "file path").select("key", "node", "overlap", F.col("place").cast("long").alias("place"))
 
 
 @add("""WITH m AS (SELECT p_brand AS owner, p_name AS name, p_size AS params FROM part) SELECT owner, count(*) AS members, sum(params)::BIGINT AS params, list_sort(list(DISTINCT name)) AS names FROM m GROUP BY owner""")
@@ -201,7 +215,7 @@ def dump_bundle(spark, sf_dir):
 
 # Retrieval quality.
 
-_HITS = """h AS (SELECT lang AS query_id, doc_id AS item, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS place FROM documents), l AS (SELECT lang AS query_id, doc_id AS item, CASE WHEN quality = 1 AND toxic = 0 THEN 2 WHEN quality = 1 THEN 1 ELSE 0 END AS grade FROM labels JOIN documents USING (doc_id))"""
+_HITS = """h AS (SELECT lang AS query_id, doc_id AS item, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS place FROM documents), l AS (SELECT lang AS query_id, doc_id AS item, CASE WHEN quality = 1 AND toxic = 0 THEN 3 WHEN quality = 1 THEN 2 WHEN toxic = 0 THEN 1 ELSE 0 END AS grade FROM labels JOIN documents USING (doc_id))"""
 
 
 def _hits(spark, sf_dir):
@@ -209,13 +223,13 @@ def _hits(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     w = Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")
     hits = d.select(F.col("lang").alias("query_id"), F.col("doc_id").alias("item"), F.row_number().over(w).alias("place"))
-    grade = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 2).when(F.col("quality") == 1, 1).otherwise(0)
+    grade = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 3).when(F.col("quality") == 1, 2).when(F.col("toxic") == 0, 1).otherwise(0)
     labels = table(spark, sf_dir, "labels").join(d.select("doc_id", "lang"), "doc_id").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("item"), grade.alias("grade"))
     return hits, labels
 
 
 @add(f"""WITH {_HITS}, g AS (SELECT h.*, coalesce(l.grade, 0) AS grade FROM h LEFT JOIN l USING (query_id, item)), i AS (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, item) AS i FROM l WHERE grade > 0), d AS (SELECT query_id, sum((pow(2, grade) - 1) / log2(i + 1)) AS ideal FROM i WHERE i <= 5 GROUP BY query_id),
-s AS (SELECT query_id, min(place) FILTER (grade > 0) AS first, sum(CASE WHEN place <= 5 THEN (pow(2, grade) - 1) / log2(place + 1) ELSE 0 END) AS dcg FROM g GROUP BY query_id)
+s AS (SELECT query_id, min(place) FILTER (grade = 3) AS first, sum(CASE WHEN place <= 5 THEN (pow(2, grade) - 1) / log2(place + 1) ELSE 0 END) AS dcg FROM g GROUP BY query_id)
 SELECT query_id, coalesce((first <= 1)::INT, 0) AS hit1, coalesce((first <= 5)::INT, 0) AS hit5, coalesce(round(1.0::DOUBLE / first, 6), 0) AS mrr, coalesce(round(dcg / ideal, 6), 0) AS ndcg5 FROM s LEFT JOIN d USING (query_id)""")
 def retrieval_metrics(spark, sf_dir):
     return retrieval.metrics(*_hits(spark, sf_dir))
@@ -226,14 +240,16 @@ def group_latency(spark, sf_dir):
     return retrieval.latencies(table(spark, sf_dir, "events"), "event_type", "value")
 
 
-_OV = 'SELECT l_suppkey AS query_id, l_orderkey * 10 + l_linenumber AS item, l_orderkey % 40 AS file, l_linenumber * 10 AS "start", l_linenumber * 10 + CAST(l_quantity AS BIGINT) AS "end", row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS place FROM lineitem WHERE l_orderkey % 3 = 0'
+_OV = """SELECT l_suppkey AS query_id, l_orderkey * 10 + l_linenumber AS item, l_orderkey % 40 AS file, ['class', 'struct', 'method', 'function'][1 + CAST(l_quantity AS BIGINT) % 4] AS kind, l_linenumber * 10 AS "start", l_linenumber * 10 + CAST(l_quantity AS BIGINT) AS "end",
+ row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_quantity) AS place FROM lineitem"""
 
 
-@add(f"""WITH h AS ({_OV}) SELECT query_id, item, place FROM h a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE a.query_id = b.query_id AND a.file = b.file AND b.place < a.place AND a.place - b.place <= 5 AND least(a."end", b."end") - greatest(a."start", b."start") >= 0.8 * least(a."end" - a."start", b."end" - b."start"))""")
+@add(f"""WITH h AS ({_OV}) SELECT query_id, item, place FROM h a WHERE NOT (kind IN ('class', 'struct') AND EXISTS (SELECT 1 FROM h b WHERE a.query_id = b.query_id AND a.file = b.file AND b.kind IN ('function', 'method') AND abs(a.place - b.place) <= 5 AND b."end" > b."start" AND least(a."end", b."end") - greatest(a."start", b."start") >= 0.8 * (b."end" - b."start")))""")
 def overlap_suppress(spark, sf_dir):
     x, start = table(spark, sf_dir, "lineitem"), (F.col("l_linenumber") * 10).cast("long")
-    w = Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
-    h = x.select(F.col("l_suppkey").alias("query_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item"), (F.col("l_orderkey") % 40).alias("file"), start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("end"), F.row_number().over(w).cast("long").alias("place"))
+    w = Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    kind = F.element_at(F.array(*map(F.lit, ("class", "struct", "method", "function"))), (1 + F.col("l_quantity").cast("long") % 4).cast("int"))
+    h = x.select(F.col("l_suppkey").alias("query_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item"), (F.col("l_orderkey") % 40).alias("file"), kind.alias("kind"), start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("end"), F.row_number().over(w).cast("long").alias("place"))
     return retrieval.overlap_suppressed(h).select("query_id", "item", "place")
 
 
@@ -254,7 +270,7 @@ def graph_expansion(spark, sf_dir):
     return retrieval.expanded(seeds, e)
 
 
-@add(f"""WITH s AS ({_SPANS}) SELECT l_orderkey AS file_id, l_linenumber * 11 AS line FROM lineitem x WHERE l_orderkey % 2 = 0 AND EXISTS (SELECT 1 FROM s WHERE s.file_id = x.l_orderkey AND s."end" - s."start" > 20 AND x.l_linenumber * 11 BETWEEN s."start" AND s."end")""")
+@add(f"""WITH s AS ({_SPANS}) SELECT l_orderkey AS file_id, l_linenumber * 11 AS line FROM lineitem x WHERE EXISTS (SELECT 1 FROM s WHERE s.file_id = x.l_orderkey AND s."end" - s."start" > 20 AND x.l_linenumber * 11 BETWEEN s."start" AND s."end")""")
 def eligible_lines(spark, sf_dir):
     hits = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_id"), (F.col("l_linenumber") * 11).alias("line"))
     s = _spans(spark, sf_dir).where("end - start > 20").select("file_id", F.col("start").alias("start_line"), F.col("end").alias("end_line"))

@@ -57,9 +57,9 @@ def test_toml(spark):
 
 
 def test_project():
-    p = project.read_project('languages = ["rust"]\n[graph]\nmin_confidence = 0.5\n')
-    assert p.graph.min_confidence == 0.5 and p.graph.depth == 2
-    for bad in ("nothing = 1", "languages = 3", "[graph]\nx = 1"):
+    p = project.read_project('[sync]\nlanguages = ["rust", "py"]\n[graph]\nmin_confidence = 0.5\nkinds = ["calls"]\n[scope.categories]\ntests = ["tests/**"]\n[precise]\nenabled = true\n')
+    assert p.graph.min_confidence == 0.5 and p.graph.depth == 2 and p.graph.max_nodes == 4000 and p.graph.kinds == ["calls"] and p.sync.languages == ["rust", "python"] and p.sync.max_file_kb == 512
+    for bad in ("nothing = 1", "[sync]\nlanguages = 3", "[graph]\nx = 1", "[graph]\nmin_confidence = 2", "[sync]\nmax_file_kb = 0", "[graph]\ndepth = true", '[sync]\nlanguages = ["cobol"]'):
         with pytest.raises(ValueError):
             project.read_project(bad)
 
@@ -85,7 +85,7 @@ def test_parsers(language):
     source, symbols, calls = SOURCES[language]
     got = parse.parse_text(source, language)
     assert {(s["name"], s["kind"], s["param_count"]) for s in got["symbols"]} == symbols
-    assert {(r["name"], r["arg_count"]) for r in got["refs"]} == calls and got["parse_ok"]
+    assert {(r["name"], r["arg_count"]) for r in got["refs"] if r["ref_kind"] == "call"} == calls and got["parse_ok"]
 
 
 def test_parser_offsets_are_bytes():
@@ -130,3 +130,5 @@ def test_sync_stream(spark, tmp_path):
     rows(("a", "2", False, "2024-01-02"), ("a", "3", False, "2024-01-03"), ("b", None, True, "2024-01-02")).coalesce(1).write.parquet(f"{incoming}/x=2")
     sync.sync_stream(spark, f"{incoming}/*", store, marks).awaitTermination(120)
     assert [(r["path"], r["content"]) for r in sync.current(spark, store).collect()] == [("a", "3")]
+    sync.compact(spark, store)
+    assert [(r["path"], r["content"]) for r in sync.current(spark, store).collect()] == [("a", "3")]

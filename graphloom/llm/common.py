@@ -16,7 +16,19 @@ from pyspark.sql import functions as F
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 
+#: Arrow batches of these rows and bytes at most keep Python workers small; Spark's own bound is 10,000 rows of any size.
+SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on Python workers of this session get small Arrow batches, unless it has a bound of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        for k, v in SMALL.items():
+            spark.conf.set(k, v)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -51,12 +63,11 @@ def drop(*tables: DataFrame) -> None:
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 4000, size: str = "4m"):
-    """Inside, Python gets Arrow batches of so many rows and bytes at most."""
-    want = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
-    before = {k: spark.conf.get(k) for k in want}
+def small_batches(spark: SparkSession):
+    """Inside, Python gets small Arrow batches."""
+    before = {k: spark.conf.get(k) for k in SMALL}
     try:
-        for k, v in want.items():
+        for k, v in SMALL.items():
             spark.conf.set(k, v)
         yield
     finally:

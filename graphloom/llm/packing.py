@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize, small_batches, worker_cache
+from graphloom.llm.common import materialize, small_batches
 from graphloom.llm.words import text_chunks
 
 WINDOW, END_ID = 2048, 1
@@ -158,7 +158,7 @@ def packed(docs: DataFrame, window: int = WINDOW, tokenizer=ByteBpe) -> DataFram
     most_open, many = MOST_OPEN, MANY_RESTS
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = worker_cache(f"tokenizer {tokenizer.__name__}", tokenizer)
+        encode = tokenizer()  # for this task: idle workers are to hold no tokenizer
         windows = Windows(window, TaskContext.get().partitionId() << 40)
         end = np.array([END_ID], np.uint32)
         for part in text_chunks(batches):

@@ -35,7 +35,7 @@ from graphloom.llm.words import text_chunks
 
 SPACE = "▁"
 #: Encodings and pairs remembered by a task, and the longest text remembered.
-MOST_KNOWN, LONGEST_KNOWN = 1_000_000, 48
+MOST_KNOWN, LONGEST_KNOWN = 300_000, 48
 #: What an unknown character costs in a unigram model, below the least score.
 UNKNOWN_PENALTY = 10.0
 

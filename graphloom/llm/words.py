@@ -9,7 +9,7 @@ import xxhash
 ODD = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bytes hashed at once, so that a text of any length takes bounded memory.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 #: Longer words are hashed by xxh3.
 LONGEST = 64
 #: A random number for each size of a word, and masks of the first 0 to 8 bytes.
@@ -129,7 +129,7 @@ def table_sums(table: np.ndarray, index: np.ndarray, counts: np.ndarray) -> np.n
     return run_sums(lambda a, b: table[index[a:b]], len(index), counts, table.shape[1])
 
 
-def text_chunks(batches, column: str = "text", most_rows: int = 400, most_bytes: int = 1 << 21):
+def text_chunks(batches, column: str = "text", most_rows: int = 400, most_bytes: int = 1 << 19):
     """Slices of Arrow batches of so many rows and so much text at most; a longer text is alone."""
     import pyarrow.compute as pc
 

@@ -12,31 +12,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import exact_dedup, jaccard_join, language, packing, toxicity
-from graphloom.llm.common import shared_dir, table
+from graphloom.llm.common import bound_batches, shared_dir, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; the rest (no letters, or no likely language) goes."""
+    bound_batches(spark)
     return language.keep_known(docs, declared=F.col("lang"), host=F.col("source"))
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not toxic by the model fitted on the labels."""
+    bound_batches(spark)
     return toxicity.keep_clean(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the largest doc_id of equal texts."""
+    bound_batches(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest doc_id of texts that 0.8-similar links join."""
+    bound_batches(spark)
     return jaccard_join.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' tokens in windows of 2048."""
+    bound_batches(spark)
     return packing.packed(docs)
 
 

@@ -12,17 +12,24 @@ from pyspark.sql import functions as F
 from graphloom.functions.paths import family_of, parent
 from graphloom.operators import graph, intervals, resolve
 from graphloom.operators.storage import checkpointed
+from graphloom.plans.parse import FILE_MODULES
 
 CALL_KINDS = {"call": "calls"}
 
 
+def module_prefix(path: Column, language: Column) -> Column:
+    """The module that a file's names belong to, where a file is one."""
+    stem = F.regexp_replace(path, r"\.[^./]*$", "")
+    return F.when(language.isin(*sorted(FILE_MODULES)), F.concat(F.replace(stem, F.lit("/"), F.lit("::")), F.lit("::"))).otherwise("")
+
+
 def symbol_table(parsed: DataFrame) -> DataFrame:
     """Symbols with their node ids, as resolve.py wants them."""
     each = parsed.select("path", "language", F.col("symbols").alias("all"), F.posexplode("symbols").alias("ordinal", "x"))
     ident = lambda x: graph.symbol_id(F.col("path"), x["name"], x["start_byte"], x["end_byte"], x["kind"])
     above = F.get("all", F.col("x.parent"))
     return each.select(
-        ident(F.col("x")).alias("symbol_id"), "path", "ordinal", F.col("x.name").alias("name"), F.col("x.qualified").alias("qualified"), F.col("x.kind").alias("kind"), F.col("x.owner").alias("owner"),
+        ident(F.col("x")).alias("symbol_id"), "path", "ordinal", F.col("x.name").alias("name"), F.concat(module_prefix(F.col("path"), F.col("language")), F.replace("x.qualified", F.lit("."), F.lit("::"))).alias("qualified"), F.col("x.kind").alias("kind"), F.col("x.owner").alias("owner"),
         parent(F.col("path")).alias("package"), family_of(F.col("language")).alias("family"), F.col("x.is_exported").alias("exported"), F.col("x.param_count").alias("params"), "x.start_byte", "x.start_line",
         F.when(F.col("x.parent").isNotNull(), ident(above)).alias("parent"),
     )

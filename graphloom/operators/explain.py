@@ -22,17 +22,6 @@ def find_targets(nodes: DataFrame, query: str) -> DataFrame:
     return nodes.where(F.coalesce(ok, F.lit(False)))
 
 
-def visible(visibility: Column, same_file: Column, same_owner: Column, same_package: Column, inherits: Column) -> Column:
-    """Whether a use may see a symbol: private within its owner or file, protected also where inherited, package within it."""
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    return (
-        F.when(visibility == "private", yes(same_owner) | yes(same_file))
-        .when(visibility == "protected", yes(same_owner) | yes(same_package) | yes(inherits))
-        .when(visibility.isin("package", "internal"), yes(same_package) | yes(same_file))
-        .otherwise(F.lit(True))
-    )
-
-
 def risky(exported: Column, confidence: Column, community: Column, other_community: Column, path: Column, other_path: Column) -> Column:
     """Exported, reached by a doubtful edge, or across a module: another community, or without one another top directory."""
     known = community.isNotNull() & other_community.isNotNull()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import terms
-from graphloom.operators import explain, graph
+from graphloom.operators import explain, graph, resolve
 from graphloom.queries.base import Registry, table
 from graphloom.queries.corpus import terms_sql
 from graphloom.queries.graphs import _MEMBERS, _nation_links, _regions
@@ -22,13 +22,16 @@ def find_targets(spark, sf_dir):
     return explain.find_targets(s, "small ring").select(F.col("key").alias("id"), "name")
 
 
-@add("""SELECT l_orderkey, l_linenumber, count(*) AS n, bool_and(CASE (l_shipdate::DATE::VARCHAR)[10:10] WHEN '1' THEN l_suppkey % 3 = 0 OR l_suppkey % 5 = 0 WHEN '2' THEN l_suppkey % 3 = 0 OR l_partkey % 2 = 0 WHEN '3' THEN l_partkey % 2 = 0 OR l_suppkey % 5 = 0 ELSE true END) AS visible FROM lineitem GROUP BY ALL""")
+@add("""SELECT l_orderkey, l_linenumber, count(*) AS n, bool_and(CASE (l_shipdate::DATE::VARCHAR)[10:10] WHEN '1' THEN l_suppkey % 3 = 0 AND l_suppkey % 5 = 0 WHEN '3' THEN l_partkey % 2 = 0 ELSE true END) AS visible FROM lineitem GROUP BY ALL""")
 def visibility(spark, sf_dir):
+    """Whether a line, as a Java reference from one of two files, owners and packages, may see a symbol of the kind that its day gives."""
     x = table(spark, sf_dir, "lineitem")
     d = F.substring(F.date_format("l_shipdate", "yyyy-MM-dd"), 10, 1)
     kind = F.when(d == "1", "private").when(d == "2", "protected").when(d == "3", "package").otherwise("public")
-    ok = explain.visible(kind, F.col("l_suppkey") % 5 == 0, F.col("l_suppkey") % 3 == 0, F.col("l_partkey") % 2 == 0, F.lit(False))
-    return x.select("l_orderkey", "l_linenumber", ok.alias("v")).groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.bool_and("v").alias("visible"))
+    one = lambda hit, name: F.when(hit, F.lit(name)).otherwise("other")
+    pair = {"s_path": F.lit("f"), "s_owner": F.lit("O"), "s_package": F.lit("p"), "s_visibility": kind, "language": F.lit("java"), "receiver_bases": F.array().cast("array<string>")}
+    pair |= {"file": one(F.col("l_suppkey") % 3 == 0, "f"), "owner": one(F.col("l_suppkey") % 5 == 0, "O"), "package": one(F.col("l_partkey") % 2 == 0, "p")}
+    return x.withColumns(pair).groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.bool_and(resolve.visible()).alias("visible"))
 
 
 @add("""SELECT event_id, event_type = 'view' OR coalesce(v <= 0.7, false) OR coalesce(CASE WHEN event_id % 3 <> 0 THEN user_id % 4 <> event_id % 4 ELSE split_part(event_type || '/x', '/', 1) <> 'click' END, false) AS risky FROM (SELECT *, value - floor(value) AS v FROM events)""")

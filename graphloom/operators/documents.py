@@ -68,3 +68,54 @@ def search_documents(parsed: DataFrame, files: DataFrame, terms: Column) -> Data
 
 def indexed_text() -> Column:
     return F.concat_ws(" ", "path", "name", "text")
+
+
+# Containers without the bodies that are documents of their own.
+
+CONTAINERS = ("class", "struct", "union", "interface", "trait", "enum", "impl", "module", "namespace", "object", "record", "component")
+CALLABLES = ("function", "method", "constructor", "destructor")
+#: Stands for a body that is indexed by itself (a fixed value).
+MARK = " /* independently indexed body */ "
+
+
+def body_of(source: str, start: int, end: int, language: str) -> tuple[int, int] | None:
+    """Where a declaration's body lies: between its braces, or after the colon that ends a Python header. None without one."""
+    depth, opening = 0, ":" if language == "python" else "{"
+    for i in range(start, end):
+        c = source[i]
+        if c == opening and depth == 0:
+            last = end if language == "python" else source.rfind("}", i, end)
+            return (i + 1, last) if last > i + 1 else None
+        depth += (c in "([") - (c in ")]")
+    return None
+
+
+def summaries_of(text: str, symbols: list[dict], language: str) -> Iterator[tuple[str, str, int, str]]:
+    """name, kind, start and text of each container, with the bodies of its callables and inner containers replaced by MARK."""
+    raw = text.encode("utf-8", "surrogatepass")
+    at = (lambda b: b) if text.isascii() else (lambda b: len(raw[:b].decode("utf-8", "replace")))
+    spans = [(at(s["start_byte"]), at(s["end_byte"])) for s in symbols]
+    bodies = [body_of(text, a, b, language) if s["kind"] in CONTAINERS + CALLABLES else None for s, (a, b) in zip(symbols, spans, strict=True)]
+    for s, (low, high), body in zip(symbols, spans, bodies, strict=True):
+        if s["kind"] not in CONTAINERS or body is None:
+            continue
+        inner = sorted((b for (a, z), b in zip(spans, bodies, strict=True) if b and body[0] <= a and z <= high and (a, z) != (low, high)), key=lambda x: (x[0], -x[1]))
+        out, now = [], low
+        for a, b in inner:
+            if a >= now:
+                out += [text[now:a], MARK]
+                now = b
+        yield s["name"], s["kind"], s["start_byte"], "".join([*out, text[now:high]])
+
+
+def container_summaries(parsed: DataFrame, files: DataFrame) -> DataFrame:
+    """path, name, kind, start_byte, text for each container of parsed files; files: path, text."""
+    fields = F.transform("symbols", lambda s: F.struct(s["name"].alias("name"), s["kind"].alias("kind"), s["start_byte"].alias("start_byte"), s["end_byte"].alias("end_byte")))
+    rows = parsed.select("path", "language", fields.alias("symbols")).join(files.where("text IS NOT NULL").select("path", "text"), "path")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for path, language, text, symbols in zip(part["path"], part["language"], part["text"], part["symbols"], strict=True):
+                yield pd.DataFrame([(path, *x) for x in summaries_of(text, list(symbols), language)], columns=["path", "name", "kind", "start_byte", "text"])
+
+    return rows.mapInPandas(run, "path string, name string, kind string, start_byte long, text string")

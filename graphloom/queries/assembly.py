@@ -111,3 +111,12 @@ def symbol_postings(spark, sf_dir):
     docs = documents.search_documents(parse.parsed(files), files, terms(F.col("text")))
     posts = bm25.postings(docs, documents.indexed_text(), "key").where(F.col("term").isin("given", "size", "outside"))
     return posts.groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
+
+
+@add(_P + " SELECT 'pkg/m' || f || '.py' AS path, 'Owner' || f AS name, 1 + count(*) AS bodies, false AS holds_code FROM p GROUP BY f")
+def container_summaries(spark, sf_dir):
+    """Classes of the same source texts without the bodies of their methods."""
+    files = module_files(spark, sf_dir)
+    got = documents.container_summaries(parse.parsed(files), files)
+    bodies = (F.length("text") - F.length(F.replace("text", F.lit(documents.MARK), F.lit("")))) / len(documents.MARK)
+    return got.select("path", "name", bodies.cast("long").alias("bodies"), F.col("text").contains("return").alias("holds_code"))

@@ -192,3 +192,9 @@ def test_postings_count_in_the_row(spark):
     df = df.withColumn("text", F.regexp_replace("text", "([abc])", "$1$1"))
     assert {tuple(r) for r in bm25.postings(df, F.col("text")).collect()} == {(1, 5, "aa", 1), (1, 5, "bb", 3), (1, 5, "cc", 1)}
     assert [tuple(r) for r in df.select(terms(F.col("text"))).where("false").collect()] == []
+
+
+def test_summaries_leave_bodies_out():
+    text = "impl P {\n    /// é\n    fn a(&self) -> u8 { b(1) }\n    const X: u8 = 1;\n    fn c() {}\n}\nfn d() { 2 }\n"
+    rows = list(documents.summaries_of(text, parse.parse_text(text, "rust")["symbols"], "rust"))
+    assert [(r[0], r[1]) for r in rows] == [("P", "impl")] and rows[0][3] == f"impl P {{\n    /// é\n    fn a(&self) -> u8 {{{documents.MARK}}}\n    const X: u8 = 1;\n    fn c() {{}}\n}}"

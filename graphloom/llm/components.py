@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize
+from graphloom.llm.common import drop, materialize
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,9 +26,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (the smallest node that it reaches), for each node with an edge to another."""
     now = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     sums = [F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")]
-    before = None
+    before, written = None, False
     while True:
-        now = materialize(_stars(_stars(now, large=True), large=False), "edges")
+        last, now = now, materialize(_stars(_stars(now, large=True), large=False), "edges")
+        if written:
+            drop(last)
+        written = True
         seen = tuple(now.agg(*sums).first())
         if seen == before or not seen[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

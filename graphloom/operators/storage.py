@@ -5,15 +5,21 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written once to the checkpoint folder. Only where all of Spark is one process (tests) may one be made on this machine."""
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder. Only where all of Spark is one process (tests) may one be made on this machine."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+        found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
         if not found and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='graphloom-')}")
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written once to the checkpoint folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

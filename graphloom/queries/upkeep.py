@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from graphloom.operators import facts, ingest
+from graphloom.operators.storage import shared_dir
 from graphloom.queries.base import Registry, table
 from graphloom.queries.corpus import _STATUS, _snapshots
 from graphloom.queries.views import SYMBOLS_SQL, files, symbols
+from graphloom.streaming import sync
 
 registry = Registry()
 add = registry.add
@@ -61,3 +65,16 @@ def index_backfill(spark, sf_dir):
 def generations(spark, sf_dir):
     meta = spark.sql("SELECT * FROM VALUES ('generation', '41'), ('analyzer', '3') AS t(key, value)")
     return facts.generation(meta, _snapshots(spark, sf_dir))
+
+
+@add("SELECT 'd' || doc_id AS path, sha256(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END) AS content_hash FROM documents WHERE doc_id % 5 > 0")
+def sync_store(spark, sf_dir):
+    """All documents come to the store of the sync stream in one batch; in a second one some have changed and some are gone."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
+    row = lambda df, content, deleted, at: df.select("path", content.alias("content"), deleted.alias("deleted"), F.lit(at).cast("timestamp").alias("at"))
+    gone = F.col("doc_id") % 5 == 0
+    store = f"{shared_dir(spark)}/sync-{uuid.uuid4().hex}"
+    sync.apply_batch(row(d, F.col("content"), F.lit(False), "2024-01-01"), 0, store)
+    later = d.where((F.col("doc_id") % 3 == 0) | gone)
+    sync.apply_batch(row(later, F.when(~gone, F.concat("content", F.lit("!"))), gone, "2024-01-02"), 1, store)
+    return sync.current(spark, store).select("path", "content_hash")

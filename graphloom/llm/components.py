@@ -22,8 +22,9 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, component (the smallest node that it reaches), for each node with an edge to another."""
+def components(edges: DataFrame, a: str = "a", b: str = "b", roots: bool = True) -> DataFrame:
+    """node, component (the smallest node that it reaches), for each node with an edge to another; without roots, nodes that name
+    their component have no row."""
     now = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     sums = [F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")]
     before, written = None, False
@@ -34,5 +35,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         written = True
         seen = tuple(now.agg(*sums).first())
         if seen == before or not seen[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return found if not roots else found.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = seen

@@ -490,14 +490,13 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         pairs = _leader_pairs(classes)
         stars = _stars(docs, classes, pairs)
         drop(pairs)
-        labels = components(stars).select(F.col("node").alias("key"), F.col("component").alias("label"))
-        found = components(stars.unionByName(_tile_links(docs, classes, labels)))
+        labels = components(stars, roots=False).select(F.col("node").alias("key"), F.col("component").alias("label"))
+        found = components(stars.unionByName(_tile_links(docs, classes, labels)), roots=False)
         drop(classes, labels, stars)
     named = signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least")).join(found, F.col("key") == found["node"], "left")
     named = named.select("key", F.coalesce("component", "key").alias("component"), "least")
-    # Only classes with links need the smallest id of others.
-    lowest = named.join(found.select(F.col("node").alias("key")), "key", "left_semi").groupBy("component").agg(F.min("least").alias("lowest"))
-    classes = named.join(lowest, "component", "left").select("key", "component", F.coalesce("lowest", "least").alias("component_id"))
+    lowest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    classes = named.join(lowest, "component").select("key", "component", "component_id")
     out = signed.select("doc_id", "digest", "n", "key").join(classes, "key", "left")
     return out.select("doc_id", "digest", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "key", "component")
 

@@ -35,7 +35,7 @@ from graphloom.llm.words import text_chunks
 
 SPACE = "▁"
 #: Encodings and pairs remembered by a task, and the longest text remembered.
-MOST_KNOWN, LONGEST_KNOWN = 300_000, 48
+MOST_KNOWN, LONGEST_KNOWN = 1_000_000, 48
 #: What an unknown character costs in a unigram model, below the least score.
 UNKNOWN_PENALTY = 10.0
 
@@ -80,6 +80,7 @@ class Pieces:
         self.cuts = re.compile(f"[{blank}]|{SPACE}*[^{SPACE}{blank}]+|{SPACE}+" if blank else f"{SPACE}*[^{SPACE}]+|{SPACE}+") if apart else re.compile(r"(?s).+")
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.pairs: dict[int, bool] = {}
+        self.weight = [p.score for p in m.pieces]
         self.begin, self.texts = len(m.pieces), [p.piece for p in m.pieces] + [""]
 
     @classmethod
@@ -110,21 +111,32 @@ class Pieces:
         found = self.pairs[pair] = self.merged(one + two) == ([one, two] if one else [two])
         return found
 
-    def _bpe_path(self, run: str) -> list[int]:
-        last = [self.begin] + [-1] * len(run)
-        back, base, pairs = [0] * (len(run) + 1), self.begin + 1, self.pairs
+    def _both_paths(self, run: str) -> tuple[list[int], list[int]]:
+        """A BPE model's own ids and those of the best sum, in one pass. Every character of run is a piece."""
+        size = len(run) + 1
+        last, back = [self.begin] + [-1] * len(run), [0] * size
+        best, top, far = [0.0] + [-np.inf] * len(run), [0] * size, [0] * size
+        base, pairs, weight = self.begin + 1, self.pairs, self.weight
         for end, (n, i, _) in self.automaton.iter(run):
             end += 1
-            if last[end] < 0 and (before := last[end - n]) >= 0:
+            start = end - n
+            total = best[start] + weight[i]
+            if total > best[end]:
+                best[end], top[end], far[end] = total, i, n
+            if last[end] < 0 and (before := last[start]) >= 0:
                 pair = before * base + i
                 fits = pairs.get(pair)
                 if self.fit(pair, before, i) if fits is None else fits:
                     last[end], back[end] = i, n
-        out, at = [], len(run)
+        own, sums, at = [], [], len(run)
         while at:
-            out.append(last[at])
+            own.append(last[at])
             at -= back[at]
-        return out[::-1]
+        at = len(run)
+        while at:
+            sums.append(top[at])
+            at -= far[at]
+        return own[::-1], sums[::-1]
 
     def _best_path(self, run: str) -> list[int]:
         best, last = [0.0] + [-np.inf] * len(run), [""] + [None] * len(run)
@@ -146,21 +158,26 @@ class Pieces:
     def _unknown(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")] if self.fallback else [self.unknown]
 
-    def _cut(self, text: str, path) -> list[int]:
+    def _cut(self, text: str) -> tuple[list[int], list[int]]:
+        """ids and best_ids of a text without spaces inside."""
         out: list[int] = []
+        sums: list[int] = []
         at = 0
         while at < len(text):
             end = at
             while end < len(text) and text[end] in self.chars:
                 end += 1
             if end > at:
-                out += path(text[at:end])
+                own, best = self._both_paths(text[at:end]) if self.bpe else (self._best_path(text[at:end]),) * 2
+                out += own
+                sums += best
             while end < len(text) and text[end] not in self.chars:
-                if self.fallback or not out or out[-1] != self.unknown:
-                    out += self._unknown(text[end])
+                for ids in (out, sums):
+                    if self.fallback or not ids or ids[-1] != self.unknown:
+                        ids += self._unknown(text[end])
                 end += 1
             at = end
-        return out
+        return out, sums
 
     def encode_both(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """ids and best_ids."""
@@ -171,8 +188,9 @@ class Pieces:
         for cut in self.cuts.findall(text):
             both = known.get(cut)
             if both is None:
-                sums = np.array(self._cut(cut, self._best_path), np.int32).tobytes()
-                both = (np.array(self._cut(cut, self._bpe_path), np.int32).tobytes() if self.bpe else sums, sums)
+                ids, sums = self._cut(cut)
+                own = np.array(ids, np.int32).tobytes()
+                both = (own, own if ids == sums else np.array(sums, np.int32).tobytes())
                 if len(cut) <= LONGEST_KNOWN:
                     if len(known) >= MOST_KNOWN:
                         known.clear()

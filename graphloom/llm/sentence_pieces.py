@@ -232,8 +232,7 @@ DIGEST = "doc_id long, n_tokens long, ids_crc32 long, best_tokens long, best_crc
 
 
 def decoded(rows: DataFrame, model: str) -> DataFrame:
-    """rows (doc_id, ids, best_ids) with the ids' text: numbers and checksums (of little-endian unsigned 32-bit ids) of both, text_chars, text_sha256.
-    The text is null where ids and best_ids do not decode alike."""
+    """rows (doc_id, ids, best_ids) with the ids' text: numbers and checksums (of little-endian unsigned 32-bit ids) of both, text_chars, text_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = worker_cache(f"pieces {model}", lambda: Pieces.read(model))
@@ -242,8 +241,7 @@ def decoded(rows: DataFrame, model: str) -> DataFrame:
             for doc, *both in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), batch.column("best_ids"), strict=True):
                 ids, best = (x.values.to_numpy() if x.is_valid else np.empty(0, np.int32) for x in both)
                 text = pieces.decode(ids)
-                same = text == pieces.decode(best)
-                out.append((doc, len(ids), crc(ids), len(best), crc(best), len(text) if same else None, hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest() if same else None))
+                out.append((doc, len(ids), crc(ids), len(best), crc(best), len(text), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()))
             cols = list(zip(*out, strict=True)) if out else [()] * 7
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.string())], [c.split()[0] for c in DIGEST.split(", ")])
 

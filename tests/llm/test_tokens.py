@@ -71,6 +71,7 @@ def test_best_sums_of_the_query(spark, model):
     cuts = set()
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
         _, best = mine.encode_both(r["text"])
+        assert mine.decode(best) == r["text"].replace("▁", " ")
         got = rows[r["doc_id"]]
         assert (got["best_tokens"], got["best_crc32"], got["text_chars"]) == (len(best), sentence_pieces.crc(best), len(r["text"]))
         cuts.update(c for c in mine.cuts.findall("▁" + r["text"].replace(" ", "▁")) if all(x in mine.chars for x in c))

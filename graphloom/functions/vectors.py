@@ -20,11 +20,25 @@ def finite(a: Column) -> Column:
     return a.isNotNull() & F.forall(a, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
-def normalized(a: Column, dims: int | None = None) -> Column:
-    """The first dims components at unit length; null if a component is not finite or the length is tiny."""
+def normalized(a: Column, dims: int | None = None, strict: bool = True) -> Column:
+    """The first dims components at unit length. Strict: null if there are fewer, one is not finite or the length is tiny; else what
+    the division gives, NaN over a length of 0."""
     cut = a if dims is None else F.slice(a, 1, dims)
+    over = lambda n: F.transform(cut, lambda x: F.when(n == 0, float("nan")).otherwise(F.try_divide(x.cast("double"), n)))
+    unit = F.get(F.transform(F.array(norm(cut)), over), F.lit(0))  # the length is taken once, not for each component
+    if not strict:
+        return unit
     enough = F.lit(True) if dims is None else F.size(a) >= dims
-    return F.when(enough & finite(cut) & (norm(cut) > SMALL), F.transform(cut, lambda x: x.cast("double") / norm(cut)))
+    return F.when(enough & finite(cut) & (norm(cut) > SMALL), unit)
+
+
+def rounded(x: Column, places: int) -> Column:
+    """A double's nearest multiple of 10 to the power -places, halves away from zero. As in IEEE arithmetic, what is rounded to zero
+    keeps its sign, and the scaled number is rounded, not its decimal text. Its magnitude is below 2 to the power 53 when scaled."""
+    scaled = F.abs(x) * 10.0**places
+    low = F.floor(scaled)
+    near = F.signum(x) * (low + F.when(scaled - low >= 0.5, 1).otherwise(0)).cast("double") / 10.0**places
+    return F.when(F.isnan(x) | (scaled >= 2.0**53), x).otherwise(near)
 
 
 def cosine(a: Column, b: Column) -> Column:

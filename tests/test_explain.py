@@ -1,8 +1,11 @@
 """Signatures, comments and stand-in embeddings."""
 
+import duckdb
 from pyspark.sql import functions as F
 
-from graphloom.functions.vectors import normalized
+from compare import rows_of
+from graphloom import queries
+from graphloom.functions.vectors import normalized, rounded
 from graphloom.operators import explain
 
 SOURCE = """/// Adds two.
@@ -42,3 +45,22 @@ def test_stale(spark):
 def test_includes(spark):
     df = spark.createDataFrame([('#include "a.h"\n  # include <b/c.h>\nint x;',)], "c string")
     assert df.select(explain.include_specifiers(F.col("c"))).first()[0] == ["a.h", "b/c.h"]
+
+
+def test_normalize_vectors_as_its_sql(spark, tmp_path):
+    """Signs of zeros, short, empty, zero and non-finite vectors."""
+    inf, nan = float("inf"), float("nan")
+    odd = [[-1e-9, 1.0] + [0.0] * 62, [0.0] * 64, [], None, [3.0, -4.0], [nan] + [1.0] * 63, [inf] + [1.0] * 63, [0.0625, -0.0] * 32, [1e-30] * 64, [1.0 + k for k in range(70)]]
+    spark.createDataFrame(list(enumerate(odd)), "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(queries.ORACLE["normalize_vectors"]).fetchall()
+    got = [tuple(r) for r in queries.QUERIES["normalize_vectors"](spark, str(tmp_path)).select("vec_id", "v").collect()]
+    assert rows_of(["vec_id", "v"], got) == rows_of(["vec_id", "v"], want)
+
+
+def test_rounded(spark):
+    x = [0.5e-6, -0.5e-6, 1.5e-6, -4e-7, 0.0, 1e300, -0.1234565]
+    got = spark.createDataFrame([(v,) for v in x], "x double").select(rounded(F.col("x"), 6)).collect()
+    want = duckdb.connect().execute("SELECT round(unnest(?::DOUBLE[]), 6)", [x]).fetchall()
+    assert [str(r[0]) for r in got] == [str(r[0]) for r in want]

@@ -20,16 +20,12 @@ def finite(a: Column) -> Column:
     return a.isNotNull() & F.forall(a, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
-def normalized(a: Column, dims: int | None = None, strict: bool = True) -> Column:
-    """The first dims components at unit length. Strict: null if there are fewer, one is not finite or the length is tiny; else what
-    the division gives, NaN over a length of 0."""
-    cut = a if dims is None else F.slice(a, 1, dims)
-    over = lambda n: F.transform(cut, lambda x: F.when(n == 0, float("nan")).otherwise(F.try_divide(x.cast("double"), n)))
-    unit = F.get(F.transform(F.array(norm(cut)), over), F.lit(0))  # the length is taken once, not for each component
-    if not strict:
-        return unit
-    enough = F.lit(True) if dims is None else F.size(a) >= dims
-    return F.when(enough & finite(cut) & (norm(cut) > SMALL), unit)
+def normalized(a: Column, strict: bool = True) -> Column:
+    """All components at unit length. Strict: null if one is not finite or the length is tiny; else what the division gives, NaN over
+    a length of 0."""
+    over = lambda n: F.transform(a, lambda x: F.when(n == 0, float("nan")).otherwise(F.try_divide(x.cast("double"), n)))
+    unit = F.get(F.transform(F.array(norm(a)), over), F.lit(0))  # the length is taken once, not for each component
+    return F.when(finite(a) & (norm(a) > SMALL), unit) if strict else unit
 
 
 def rounded(x: Column, places: int) -> Column:

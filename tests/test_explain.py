@@ -57,6 +57,7 @@ def test_normalize_vectors_as_its_sql(spark, tmp_path):
     want = con.execute(queries.ORACLE["normalize_vectors"]).fetchall()
     got = [tuple(r) for r in queries.QUERIES["normalize_vectors"](spark, str(tmp_path)).select("vec_id", "v").collect()]
     assert rows_of(["vec_id", "v"], got) == rows_of(["vec_id", "v"], want)
+    assert [len(v) for _, v in sorted(got) if v is not None] == [len(v) for v in odd if v is not None]
 
 
 def test_rounded(spark):

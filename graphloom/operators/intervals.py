@@ -5,7 +5,7 @@ intervals, positions meet them by buckets of their span (`bucket`), so that the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -36,9 +36,16 @@ def overlapping(ranges: DataFrame, spans: DataFrame, key: str = "file_id", bucke
 
 
 def first_existing(imports: DataFrame, candidates: Column, files: DataFrame) -> DataFrame:
-    """import_id, path: of each import's ordered candidate paths the first that exists."""
-    each = imports.select("import_id", F.posexplode(candidates).alias("pos", "path"))
-    return each.join(files.select("path").distinct(), "path").groupBy("import_id").agg(F.min_by("path", "pos").alias("path"))
+    """import_id, path: of each import's ordered candidate paths the first that exists. An import has dozens of candidates, which Spark's
+    sizes don't know of: it would broadcast them. So both sides are sorted, and imports are dealt out before they grow."""
+    dealt = imports.repartition(max(imports.sparkSession.sparkContext.defaultParallelism, int(imports.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    each = dealt.select("import_id", F.posexplode(candidates).alias("pos", "path"))
+    return each.join(files.select("path").distinct().hint("merge"), "path").groupBy("import_id").agg(F.min_by("path", "pos").alias("path"))
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def _joined(a: Column, b: Column) -> Column:
@@ -70,26 +77,29 @@ def script_candidates(importer: Column, specifier: Column) -> Column:
     base = F.regexp_replace(importer, "/?[^/]*$", "")
     parts = F.filter(F.split(F.concat(base, F.lit("/"), specifier), "/"), lambda p: (p != "") & (p != "."))
     up = F.aggregate(parts, F.array().cast("array<string>"), lambda s, p: F.when(p == "..", F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(F.concat(s, F.array(p))))
-    path = F.array_join(up, "/")
-    return F.when(specifier.rlike(r"^(\.{1,2})?/"), F.array(*[F.concat(path, F.lit(e)) for e in SCRIPT_ENDS])).otherwise(F.array().cast("array<string>"))
+    ended = _once(F.array_join(up, "/"), lambda path: F.array(*[F.concat(path, F.lit(e)) for e in SCRIPT_ENDS]))
+    return F.when(specifier.rlike(r"^(\.{1,2})?/"), ended).otherwise(F.array().cast("array<string>"))
 
 
 def rust_candidates(importer: Column, specifier: Column) -> Column:
     """Where a Rust path may lie: from the crate's src, or for self and super from the importer's directory; the last part may be
     an item of the module before it."""
-    parts = F.filter(F.split(specifier, "::"), lambda p: p != "")
-    head, base = F.element_at(parts, 1), F.regexp_replace(importer, "/?[^/]*$", "")
+    none, base = F.array().cast("array<string>"), F.regexp_replace(importer, "/?[^/]*$", "")
     ups = F.size(F.filter(F.split(F.regexp_extract(specifier, r"^((?:super(?:::|$))*)", 1), "::"), lambda p: p == "super"))
-    here = F.when(head == "self", base).when(head == "super", _climbed(base, ups)).otherwise(F.lit("src"))
-    skip = F.when(head.isin("crate", "self"), 1).when(head == "super", ups).otherwise(0)
-    module = F.concat(F.filter(F.split(here, "/"), lambda p: p != ""), F.slice(parts, skip + 1, F.size(parts)))
 
-    def of(cut: int) -> Column:
+    def module(parts: Column) -> Column:
+        head = F.element_at(parts, 1)
+        here = F.when(head == "self", base).when(head == "super", _climbed(base, ups)).otherwise(F.lit("src"))
+        skip = F.when(head.isin("crate", "self"), 1).when(head == "super", ups).otherwise(0)
+        return F.concat(F.filter(F.split(here, "/"), lambda p: p != ""), F.slice(parts, skip + 1, F.size(parts)))
+
+    def of(module: Column, cut: int) -> Column:
+        bare = lambda x: F.when(x.startswith("src/"), F.concat(F.substr(x, F.lit(5)), F.lit(".rs"))).otherwise("")
         joined = F.array_join(F.slice(module, F.lit(1), F.greatest(F.size(module) - cut, F.lit(0))), "/")
-        bare = F.when(joined.startswith("src/"), F.concat(F.substr(joined, F.lit(5)), F.lit(".rs"))).otherwise("")
-        return F.when(F.size(module) > cut, F.array(F.concat(joined, F.lit(".rs")), F.concat(joined, F.lit("/mod.rs")), bare)).otherwise(F.array().cast("array<string>"))
+        return F.when(F.size(module) > cut, _once(joined, lambda x: F.array(F.concat(x, F.lit(".rs")), F.concat(x, F.lit("/mod.rs")), bare(x)))).otherwise(none)
 
-    return F.when(F.size(parts) > 0, F.concat(of(0), of(1))).otherwise(F.array().cast("array<string>"))
+    both = lambda m: F.concat(of(m, 0), of(m, 1))
+    return _once(F.filter(F.split(specifier, "::"), lambda p: p != ""), lambda parts: F.when(F.size(parts) > 0, _once(module(parts), both)).otherwise(none))
 
 
 # Source roots and extensions of Java and Kotlin, in the order in which they are tried.
@@ -99,13 +109,14 @@ JVM_ENDS = [".java", ".kt"]
 
 def jvm_candidates(specifier: Column, imported_name: Column) -> Column:
     """Where a Java or Kotlin class may lie; without its last part for imported members. A wildcard names a package, not a file."""
-    parts = F.filter(F.split(specifier, r"\."), lambda p: p != "")
+    none = F.array().cast("array<string>")
 
-    def of(cut: int) -> Column:
+    def of(parts: Column, cut: int) -> Column:
         joined = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - cut, F.lit(0))), "/")
-        return F.when(F.size(parts) > cut, F.array(*[F.concat(F.lit(r), joined, F.lit(e)) for r in JVM_ROOTS for e in JVM_ENDS])).otherwise(F.array().cast("array<string>"))
+        return F.when(F.size(parts) > cut, _once(joined, lambda x: F.array(*[F.concat(F.lit(r), x, F.lit(e)) for r in JVM_ROOTS for e in JVM_ENDS]))).otherwise(none)
 
-    return F.when(imported_name.isNotNull(), F.concat(of(0), of(1))).otherwise(F.array().cast("array<string>"))
+    both = lambda parts: F.concat(of(parts, 0), of(parts, 1))
+    return F.when(imported_name.isNotNull(), _once(F.filter(F.split(specifier, r"\."), lambda p: p != ""), both)).otherwise(none)
 
 
 def include_candidates(importer: Column, specifier: Column) -> Column:

@@ -2,7 +2,9 @@
 
 import random
 
-from graphloom.operators import community, graph, resolve, sinks, traverse
+from pyspark.sql import functions as F
+
+from graphloom.operators import community, graph, intervals, resolve, sinks, traverse
 
 
 def edges(spark, rows):
@@ -84,3 +86,13 @@ def test_sinks(spark, tmp_path):
     assert '\\"x\\"' in sinks.dot(n, e) and "</script>\"" not in sinks.page(n, e)
     sinks.write_json(n, e, str(tmp_path))
     assert spark.read.json(f"{tmp_path}/edges").count() == 1
+
+
+def test_imports_are_not_broadcast_with_their_candidates(spark):
+    """Dozens of candidates for each import: both sides are sorted, and imports are dealt out before they grow."""
+    imports = spark.range(1000).select(F.col("id").alias("import_id"), F.lit("java").alias("family"), F.lit("src/A.java").alias("importer"), F.format_string("com.K%d.make", F.col("id") % 50).alias("specifier"), F.lit("make").alias("name")).coalesce(1)
+    files = spark.range(50).select(F.format_string("kotlin/com/K%d.kt", "id").alias("path"))
+    found = intervals.first_existing(imports, intervals.import_candidates(F.col("family"), F.col("importer"), F.col("specifier"), F.col("name")), files)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "RoundRobinPartitioning" in plan
+    assert {r["import_id"]: r["path"] for r in found.collect()} == {k: f"kotlin/com/K{k % 50}.kt" for k in range(1000)}

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.operators.storage import dealt_out
+
 
 def innermost(points: DataFrame, spans: DataFrame, key: str = "file_id", bucket: int = 4096) -> DataFrame:
     """point_id, span_id: the narrowest span [start, end) around each point's position, the first of equals, or null."""
@@ -38,8 +40,7 @@ def overlapping(ranges: DataFrame, spans: DataFrame, key: str = "file_id", bucke
 def first_existing(imports: DataFrame, candidates: Column, files: DataFrame) -> DataFrame:
     """import_id, path: of each import's ordered candidate paths the first that exists. An import has dozens of candidates, which Spark's
     sizes don't know of: it would broadcast them. So both sides are sorted, and imports are dealt out before they grow."""
-    dealt = imports.repartition(max(imports.sparkSession.sparkContext.defaultParallelism, int(imports.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    each = dealt.select("import_id", F.posexplode(candidates).alias("pos", "path"))
+    each = dealt_out(imports).select("import_id", F.posexplode(candidates).alias("pos", "path"))
     return each.join(files.select("path").distinct().hint("merge"), "path").groupBy("import_id").agg(F.min_by("path", "pos").alias("path"))
 
 

@@ -96,3 +96,41 @@ def test_imports_are_not_broadcast_with_their_candidates(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "RoundRobinPartitioning" in plan
     assert {r["import_id"]: r["path"] for r in found.collect()} == {k: f"kotlin/com/K{k % 50}.kt" for k in range(1000)}
+
+
+def _methods(spark, n):
+    """Owners with a method of one name each, and calls of it on values of a known type."""
+    none = F.lit(None).cast("string")
+    empty = F.array().cast("array<string>")
+    k = spark.range(n).select(F.col("id").cast("string").alias("k"))
+    symbols = k.select(F.concat(F.lit("s"), "k").alias("symbol_id"), F.lit("size").alias("name"), F.concat(F.lit("O"), "k", F.lit(".size")).alias("qualified"), F.lit("method").alias("kind"), F.concat(F.lit("O"), "k").alias("owner"), F.lit("p").alias("package"), F.concat(F.lit("f"), "k").alias("path"), F.lit("java").alias("family"), F.lit(True).alias("exported"), F.lit(0).alias("params"), F.lit(1).alias("start_byte"), (F.col("k") == "7").alias("extension"))
+    refs = k.select(F.concat(F.lit("r"), "k").alias("ref_id"), F.lit("size").alias("name"), F.lit("call").alias("ref_kind"), F.lit("value").alias("receiver_kind"), F.lit("it").alias("receiver"), F.concat(F.lit("O"), "k").alias("receiver_type"), F.when(F.col("k") == "3", F.array(F.lit("O4"), F.lit("O3"))).otherwise(empty).alias("receiver_bases"), none.alias("owner"), F.lit("q").alias("package"), F.lit("g").alias("file"), F.lit("java").alias("family"), F.lit(0).alias("arg_count"), F.lit(False).alias("local_only"), none.alias("scope_target"), empty.alias("import_targets"), empty.alias("namespaces"), empty.alias("reachable"), none.alias("precise_status"), none.alias("precise_target"), F.lit(None).cast("double").alias("precise_confidence"))
+    return refs, symbols
+
+
+def test_values_of_known_types_meet_their_own_members(spark):
+    """One name of n types makes n pairs, one more for a base, and those with the extension; not n times n."""
+    refs, symbols = _methods(spark, 200)
+    pairs = [(r["ref_id"], r["s_symbol_id"]) for r in resolve.candidates(refs, symbols).collect()]
+    assert len(pairs) == len(set(pairs)) == 200 + 1 + 199
+    assert {r["ref_id"]: r["target"] for r in resolve.resolved(refs, symbols).collect()} == {f"r{k}": f"s{k}" for k in range(200)}
+
+
+def test_resolution_in_steps_is_that_of_all_pairs(spark, monkeypatch):
+    """However many pairs share a name; the first step alone looks at a small part of them."""
+    from graphloom.queries import resolution
+
+    sf = "/root/testdata/sf0.01"
+    refs, symbols = resolution._refs(spark, sf), resolution._symbols(spark, sf)
+    whole = sorted(map(repr, resolve.ranked(resolve.scored(resolve.candidates(refs, symbols))).withColumn("score", F.col("score").cast("int")).collect()))
+    monkeypatch.setattr(resolve, "MANY_PAIRS", 0)
+    steps = resolve._settled(refs, symbols)
+    assert len(steps) == 3 and all(s.count() for s in steps)
+    assert sorted(map(repr, resolve.resolved(refs, symbols).collect())) == whole
+    assert resolve.candidates(refs, symbols, "near").count() * 4 < resolve.candidates(refs, symbols).count()
+
+
+def test_texts_are_parsed_in_many_tasks(spark):
+    from graphloom.queries import assembly
+
+    assert assembly.module_files(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4

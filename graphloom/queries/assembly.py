@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import terms
 from graphloom.operators import assemble, bm25, documents, intervals
+from graphloom.operators.storage import dealt_out
 from graphloom.plans import parse
 from graphloom.queries.base import Registry, table
 
@@ -30,7 +31,7 @@ def module_files(spark, sf_dir):
     p = p.join(F.broadcast(least), F.lit(True))
     before = F.when(F.col("f") > F.col("first"), F.format_string("base_%d(given)", F.col("f") - 1)).otherwise(F.lit("0"))
     method = F.format_string(METHOD, "p_partkey", "f", before)
-    rows = p.groupBy("f", "first").agg(F.array_join(F.array_sort(F.collect_list(F.struct("p_partkey", method.alias("m")))).m, "").alias("body"))
+    rows = dealt_out(p, "f").groupBy("f", "first").agg(F.array_join(F.array_sort(F.collect_list(F.struct("p_partkey", method.alias("m")))).m, "").alias("body"))
     head = F.when(F.col("f") > F.col("first"), F.format_string("from .m%d import base_%d\nimport outside_%d.tools\n\n\n", F.col("f") - 1, F.col("f") - 1, F.col("f") % 3)).otherwise(F.lit(""))
     owner = F.format_string("class Owner%d:\n    def size(self):\n        return 1\n\n", "f")
     tail = F.format_string("\n\ndef helper_%1$d(x):\n    return x\n\n\ndef base_%1$d(x):\n    return helper_%1$d(x)\n", "f")
